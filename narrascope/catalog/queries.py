@@ -484,7 +484,7 @@ def _given_centres(spark, sf_dir) -> np.ndarray:
 
 @query
 def feature_hash(spark, sf_dir):
-    v = feature_hash_embed(reports(spark, sf_dir), KEY, TEXT, P.HASH_DIM)
+    v = feature_hash_embed(reports(spark, sf_dir), TEXT, P.HASH_DIM)
     entries = v.select(KEY, F.posexplode("embedding").alias("slot", "value"))
     return entries.where("value <> 0").withColumns(r4("value"))
 

@@ -109,6 +109,8 @@ def project(
 
     `axes[g]` is a (length x k) matrix. Without a group the single entry "" is used. Lambda
     expressions over the array give the same numbers but evaluate every product interpretively.
+    The function is declared non-deterministic only to keep the optimizer from copying it into
+    inferred filters, which would evaluate it twice.
     """
     v = F.col(vector) if isinstance(vector, str) else vector
     g = F.lit("") if group is None else (F.col(group) if isinstance(group, str) else group)
@@ -121,7 +123,7 @@ def project(
             vectors, groups, width, models, lambda rows, m: (rows - m[1]) @ m[0]
         )
 
-    return run(v, g.cast("string"))
+    return run.asNondeterministic()(v, g.cast("string"))
 
 
 def nearest_centre(
@@ -140,4 +142,4 @@ def nearest_centre(
     def run(vectors: pa.Array, groups: pa.Array) -> pa.Array:
         return _by_group(vectors, groups, 1, models, assign)
 
-    return F.get(run(v, g.cast("string")), F.lit(0)).cast("int")
+    return F.get(run.asNondeterministic()(v, g.cast("string")), F.lit(0)).cast("int")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,31 +36,37 @@ def embed(
     return df.withColumn(out, F.when(F.col(text_col).isNotNull(), encode(text)))
 
 
+def _hashed_sums(codes: Column, dim: int) -> Column:
+    """Signed sums per slot with unit length, one vectorised count per Arrow batch."""
+
+    @F.arrow_udf("array<double>")
+    def run(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        flat = np.asarray(lists.flatten(), dtype=np.int64)
+        row = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+        weights = np.where((flat & 15) < 8, 1.0, -1.0)
+        slots = row * dim + (flat >> 4) % dim
+        sums = np.bincount(slots, weights, minlength=n * dim).reshape(n, dim)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        unit = sums / np.where(norm == 0, 1.0, norm)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.ravel())
+        )
+
+    return run.asNondeterministic()(codes)  # evaluated once, see `vectors.project`
+
+
 def feature_hash_embed(
-    df: DataFrame, key: str, text_col: str, dim: int = 64, out: str = "embedding"
+    df: DataFrame, text_col: str, dim: int = 64, out: str = "embedding"
 ) -> DataFrame:
-    """(key, vector): signed hashing of tokens with unit length; lexical, not semantic.
+    """`df` with signed hashing of tokens, unit length; lexical, not semantic. No shuffle.
 
-    The hash of a token gives its slot (first six hex digits) and sign (seventh). All slots are sums
-    of one aggregate, so the shuffle carries one row of `dim` sums per report.
+    The hash of a token gives its slot (first six hex digits) and its sign (seventh). The tokens are
+    hashed in the JVM; only the codes go to the vectorised count.
     """
-    terms = df.where(F.col(text_col).isNotNull()).select(
-        key, F.inline_outer(tx.bag(tx.tokens(text_col)))
-    )
-    h = F.md5("term")
-    signed = terms.select(
-        key,
-        (F.conv(F.substring(h, 1, 6), 16, 10).cast("long") % dim).cast("int").alias("slot"),
-        F.when(F.substring(h, 7, 1) < "8", F.col("cnt")).otherwise(-F.col("cnt")).alias("w"),
-    )
-    sums = signed.groupBy(key).agg(
-        *[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("w"))), F.lit(0).cast("long")).alias(f"_s{i}") for i in range(dim)]
-    )
-    raw = F.array(*[F.col(f"_s{i}").cast("double") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-    return sums.select(
-        key,
-        tx.let(
-            norm, lambda n: F.transform(raw, lambda v: F.when(n > 0, v / n).otherwise(0.0))
-        ).alias(out),
+    rows = df.where(F.col(text_col).isNotNull())
+    codes = F.transform(
+        tx.tokens(text_col),
+        lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"),
     )
+    return rows.withColumn(out, _hashed_sums(codes, dim))

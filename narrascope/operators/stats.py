@@ -62,7 +62,7 @@ def resolve_author_col(df: DataFrame) -> str | None:
 
 
 def drop_null_text(df: DataFrame, text_col: str) -> DataFrame:
-    return df.na.drop(subset=[text_col])
+    return df.where(F.col(text_col).isNotNull())
 
 
 def with_percent(summary: DataFrame, count_col: str, out: str = "percent") -> DataFrame:

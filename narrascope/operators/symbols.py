@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import broadcast_if_small
+from narrascope.functions.sizing import MAX_BROADCAST_BYTES, broadcast_if_small, small_table
 from narrascope.operators.stats import drop_null_text, with_percent
 
 UNCATEGORIZED = "Uncategorized"
@@ -65,7 +65,7 @@ def unmatchable_symbols(dictionary: DataFrame, **columns: str) -> DataFrame:
 
 @dataclass
 class SymbolIndex:
-    """Deduplicated dictionary, with its matchable symbols on the driver when they are few."""
+    """Deduplicated matchable symbols; when they are few, `ranked` holds them on the driver too."""
 
     table: DataFrame
     ranked: list[str] | None = None
@@ -73,13 +73,14 @@ class SymbolIndex:
 
     @classmethod
     def build(cls, dictionary: DataFrame, max_literal: int = MAX_LITERAL_SYMBOLS, **columns: str):
-        table = dedupe_symbols(dictionary, **columns)
-        rows = (
-            table.where("matchable").select("clean", "ord", "n_words").limit(max_literal + 1)
-        ).collect()
-        if len(rows) > max_literal:
+        table = dedupe_symbols(dictionary, **columns).where("matchable")
+        table = table.select("clean", "ord", "symbol", "meaning", "n_words")
+        rows = table.limit(max_literal + 1).collect()
+        if len(rows) > max_literal or sum(len(r["meaning"] or "") for r in rows) > MAX_BROADCAST_BYTES:
             return cls(table)
         rows.sort(key=lambda r: (-r["n_words"], r["ord"]))
+        schema = "clean string, ord long, symbol string, meaning string, n_words int"
+        table = small_table(dictionary.sparkSession, rows, schema)
         firsts: dict[int, set[str]] = {}
         for r in rows:
             firsts.setdefault(r["n_words"], set()).add(r["clean"].split(" ")[0])
@@ -89,6 +90,11 @@ class SymbolIndex:
             {n: sorted(words) for n, words in sorted(firsts.items())},
         )
 
+    def columns(self, *columns: Column | str) -> DataFrame:
+        """Columns of the dictionary for a join, broadcast when the size has been checked."""
+        part = self.table.select(*columns)
+        return broadcast_if_small(part) if self.ranked is None else F.broadcast(part)
+
     def symbols(self) -> Column:
         """The matchable symbols as one constant array, most words first, then dictionary order."""
         if not self.ranked:
@@ -102,6 +108,8 @@ class SymbolIndex:
         """
 
         def of_size(t: Column, n: int) -> Column:
+            if n == 1:
+                return t
             here = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(
                 F.array().cast("array<int>")
             )
@@ -130,13 +138,12 @@ def symbol_hits(
     """(key, clean, ord, n_words): every symbol that occurs in a report, once."""
     index = _index(dictionary)
     reports = drop_null_text(reports, text_col)
-    info = index.table.where("matchable").select("clean", "ord", "n_words")
     if index.ranked is None:
         found = _phrase_table(reports, key, text_col, distinct=True)
     else:
         hits = F.array_intersect(index.symbols(), index.phrases(tx.tokens(text_col)))
         found = reports.select(key, F.explode(hits).alias("clean"))
-    return found.join(broadcast_if_small(info), "clean").select(key, "clean", "ord", "n_words")
+    return found.join(index.columns("clean", "ord", "n_words"), "clean").select(key, "clean", "ord", "n_words")
 
 
 def symbol_counts(
@@ -146,10 +153,9 @@ def symbol_counts(
     index = _index(dictionary)
     reports = drop_null_text(reports, text_col)
     if index.ranked is None:
-        known = broadcast_if_small(index.table.where("matchable").select("clean"))
         return (
             _phrase_table(reports, key, text_col, distinct=False)
-            .join(known, "clean", "left_semi")
+            .join(index.columns("clean"), "clean", "left_semi")
             .groupBy(key, "clean")
             .agg(F.count(F.lit(1)).alias("cnt"))
         )
@@ -172,7 +178,7 @@ def symbol_match(
     """
     index = _index(dictionary)
     reports = drop_null_text(reports, text_col).withColumn("word_count", tx.word_count(text_col))
-    info = index.table.where("matchable").select(
+    info = index.columns(
         F.col("clean").alias("_best"),
         F.col("symbol").alias("matched_symbol"),
         F.col("meaning").alias("interpretation"),
@@ -188,7 +194,7 @@ def symbol_match(
         hits = F.array_intersect(index.symbols(), index.phrases(tx.tokens(text_col)))
         matched = reports.withColumn("_best", F.get(hits, F.lit(0)))
     return (
-        matched.join(broadcast_if_small(info), "_best", "left")
+        matched.join(info, "_best", "left")
         .drop("_best")
         .withColumn("matched_symbol", F.coalesce("matched_symbol", F.lit(UNCATEGORIZED)))
     )
@@ -206,7 +212,7 @@ def symbol_summary(
         F.avg("word_count").alias("avg_words"),
         authors.alias("dreamers_count"),
     )
-    meanings = index.table.select(
+    meanings = index.columns(
         F.col("symbol").alias("matched_symbol"), F.col("meaning").alias("interpretation")
     )
     text = F.when(F.col("matched_symbol") == UNCATEGORIZED, NO_MATCH).otherwise(
@@ -214,7 +220,7 @@ def symbol_summary(
     )
     return (
         with_percent(stats, "dreams_count")
-        .join(broadcast_if_small(meanings), "matched_symbol", "left")
+        .join(meanings, "matched_symbol", "left")
         .withColumn("interpretation", text)
         .orderBy(F.desc("dreams_count"), "matched_symbol")
     )

@@ -197,11 +197,11 @@ def topics_fit(
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_terms: int = MAX_TERMS,
-    batch_reports: int = 10_000,
+    batch_reports: int = 4_096,
 ) -> TopicModel:
     """Learn the vocabulary and fit the topics.
 
-    Every iteration sees about `batch_reports` reports or one percent of the corpus, whichever is
+    Every iteration sees about `batch_reports` reports or a thousandth of the corpus, whichever is
     more; a smaller corpus is used whole. Only the vocabulary (at most `max_terms` words) and the
     topic matrix reach the driver.
     """
@@ -224,7 +224,7 @@ def topics_fit(
             seed=seed,
             maxIter=max_iter,
             optimizer="online",
-            subsamplingRate=min(1.0, max(0.01, batch_reports / max(n, 1))),
+            subsamplingRate=min(1.0, max(0.001, batch_reports / max(n, 1))),
             learningOffset=10.0,
             learningDecay=0.7,
             optimizeDocConcentration=False,
