@@ -53,7 +53,7 @@ def _per_axis(graded: DataFrame) -> DataFrame:
 
 def accuracy(graded: DataFrame) -> DataFrame:
     """Percent correct by responder, condition and axis, and overall, with its band."""
-    pct = F.sum("n_correct") * 100.0 / F.sum("n_answers")
+    pct = F.try_divide(F.sum("n_correct") * 100.0, F.sum("n_answers"))
     return (
         _per_axis(graded)
         .groupingSets(

@@ -73,7 +73,7 @@ def with_percent(summary: DataFrame, count_col: str, out: str = "percent") -> Da
     column pruning makes its shuffle differ from the first one.
     """
     total = F.sum(count_col).over(Window.partitionBy(F.lit(1)))
-    return summary.withColumn(out, F.col(count_col) * F.lit(100.0) / total)
+    return summary.withColumn(out, F.try_divide(F.col(count_col) * F.lit(100.0), total))
 
 
 def count_by(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:

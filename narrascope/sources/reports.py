@@ -42,8 +42,13 @@ def dataset_id(file_name: Column | str) -> Column:
     return F.split_part(name, F.lit("."), F.lit(1))
 
 
+def _scanned_file() -> Column:
+    """Plain name of the file a row comes from; the metadata column holds it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, file_name) of a folder; the contents are not read."""
+    """(path, file_name) of a folder; the contents are not read and empty files are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
@@ -150,12 +155,17 @@ def read_delimited(
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     raw = F.col(_CORRUPT)
-    kept = df.where(raw.isNull() | (_field_count(raw, sep) <= len(columns)))
+    # The reader refuses queries that need the raw record alone (a count), so the filter also looks
+    # at the first column.
+    first = F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))
+    kept = df.where(
+        (F.octet_length(first) >= 0) & (raw.isNull() | (_field_count(raw, sep) <= len(columns)))
+    )
     out = [
         F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in columns
     ]
     if with_source:
-        out.append(F.col("_metadata.file_name").alias(SOURCE_COLUMN))
+        out.append(_scanned_file().alias(SOURCE_COLUMN))
     return kept.select(*out)
 
 
@@ -182,7 +192,7 @@ def read_info(spark: SparkSession, folder: str) -> DataFrame:
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
         .json(folder)
-        .select("*", dataset_id(F.col("_metadata.file_name")).alias("dataset_id"))
+        .select("*", dataset_id(_scanned_file()).alias("dataset_id"))
     )
 
 
