@@ -59,7 +59,7 @@ def broadcast_if_small(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the files give fewer splits than cores; otherwise leave the scan alone."""
+    """For a scan: use all cores when the files give fewer splits than cores, else change nothing."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 

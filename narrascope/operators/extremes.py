@@ -46,7 +46,6 @@ def axis_extremes(
         ["axis_id", "pole"],
         [F.desc(F.col("raw") * F.col("sign")), F.asc(key)],
         k,
-        spread_on=[key],
     ).select("axis_id", "pole", "rank", key, F.round("raw", 4).alias("score"))
     if reports is None:
         return best

@@ -22,6 +22,8 @@ from narrascope.functions.sizing import small_table
 from narrascope.functions.vectors import matrix, project
 
 _MERGE_SALTS = 32
+# A task hands its sums on when it holds this many groups, so that its memory stays bounded.
+_GROUPS_PER_FLUSH = 64
 _PARTIAL = "grp string, salt int, n long, stats array<double>"
 _FITTED = (
     "grp string, n long, mean array<double>, loadings array<double>, "
@@ -40,8 +42,23 @@ class PcaModel:
     ratio: np.ndarray
 
 
+def _sum_rows(sums: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    salt = TaskContext.get().partitionId() % _MERGE_SALTS
+    for name, (n, total, gram) in sums.items():
+        upper = gram[np.triu_indices(total.size)]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "grp": pa.array([name], pa.string()),
+                "salt": pa.array([salt], pa.int32()),
+                "n": pa.array([n], pa.int64()),
+                "stats": pa.array([np.concatenate([total, upper])], pa.list_(pa.float64())),
+            }
+        )
+    sums.clear()
+
+
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str | None, list] = {}
+    sums: dict[str, list] = {}
     for batch in batches:
         groups = np.asarray(batch.column(0).to_pandas(), dtype=object)
         vectors = batch.column(1)
@@ -53,17 +70,9 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s[0] += len(rows)
             s[1] += rows.sum(axis=0)
             s[2] += rows.T @ rows
-    salt = TaskContext.get().partitionId() % _MERGE_SALTS
-    for name, (n, total, gram) in sums.items():
-        upper = gram[np.triu_indices(total.size)]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "grp": pa.array([name], pa.string()),
-                "salt": pa.array([salt], pa.int32()),
-                "n": pa.array([n], pa.int64()),
-                "stats": pa.array([np.concatenate([total, upper])], pa.list_(pa.float64())),
-            }
-        )
+            if len(sums) >= _GROUPS_PER_FLUSH:
+                yield from _sum_rows(sums)
+    yield from _sum_rows(sums)
 
 
 def _gram_sums(df: DataFrame, vector_col: str, group: str | None) -> DataFrame:

@@ -65,17 +65,17 @@ def top_k_per_group(
     group: Sequence[str],
     order: Sequence[Column],
     k: int,
-    spread_on: Sequence[str],
     rank: str = "rank",
     salts: int = SALTS,
 ) -> DataFrame:
     """The first k rows of every group, with their rank.
 
-    Two rounds: the k best of every (group, salt), then the k best of every group. A group holding a
-    large part of all rows is so split over `salts` tasks, and the second round sees at most
-    k * salts rows of it. Both rounds cut to k rows per task before the shuffle.
+    Every task cuts to k rows per group before the shuffle. The rows that are left of a group are
+    ranked in two rounds, first by (group, salt) and then by group, so that even with very many
+    tasks no reducer gets all of them. The salt is taken from the task, which keeps the number of
+    shuffled rows at k per group and task, and does not affect the result.
     """
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts))
+    salt = F.spark_partition_id() % F.lit(salts)
     inner = Window.partitionBy(*group, "_salt").orderBy(*order)
     outer = Window.partitionBy(*group).orderBy(*order)
     return (

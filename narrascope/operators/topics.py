@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import ITERATIVE_STORAGE, broadcast_if_small
+from narrascope.functions.sizing import ITERATIVE_STORAGE
 from narrascope.operators.sampling import top_k_per_group
 from narrascope.operators.stats import drop_null_text, with_percent
 
@@ -98,7 +98,7 @@ def topic_top_words(
 ) -> DataFrame:
     """(topic, term, weight, rank): the n heaviest terms of every topic of a long weight table."""
     order = [F.desc("weight"), F.asc("term")]
-    return top_k_per_group(weights, [topic], order, n, spread_on=["term"])
+    return top_k_per_group(weights, [topic], order, n)
 
 
 def topic_keywords(top_words: DataFrame, topic: str = "topic_id") -> DataFrame:
@@ -115,9 +115,15 @@ def topic_keywords(top_words: DataFrame, topic: str = "topic_id") -> DataFrame:
     )
 
 
-def join_keywords(df: DataFrame, keywords: DataFrame, topic: str = "topic_id") -> DataFrame:
-    """Keyword strings onto reports or summaries; rows without keywords are kept."""
-    return df.join(broadcast_if_small(keywords), topic, "left")
+def join_keywords(
+    df: DataFrame, keywords: DataFrame, topic: str = "topic_id", bounded: bool = False
+) -> DataFrame:
+    """Keyword strings onto reports or summaries; rows without keywords are kept.
+
+    `bounded` says that `keywords` has one row per fitted topic and may be broadcast. Otherwise the
+    planner decides; measuring the size here would run the keyword query twice.
+    """
+    return df.join(F.broadcast(keywords) if bounded else keywords, topic, "left")
 
 
 def topic_summary(

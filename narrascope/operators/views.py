@@ -19,26 +19,20 @@ def _finite(*columns: str) -> Column:
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int, label: str) -> DataFrame:
     """(bin_x, bin_y, label, n): counts on a bins x bins grid over the range of the points.
 
-    The range is a scalar subquery of one row; the counts combine before the shuffle.
+    The range is read first, as one row; the counts combine before the shuffle.
     """
     points = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), label).where(_finite("_x", "_y"))
-    ends = points.agg(
-        F.struct(
-            F.min("_x").alias("x0"),
-            F.max("_x").alias("x1"),
-            F.min("_y").alias("y0"),
-            F.max("_y").alias("y1"),
-        ).alias("ends")
-    ).scalar()
+    x0, x1, y0, y1 = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
 
-    def bin_of(v: str, lo: str, hi: str) -> Column:
-        low, high = ends.getField(lo), ends.getField(hi)
-        pos = F.floor((F.col(v) - low) / (high - low) * bins).cast("int")
-        return F.when(high > low, F.least(pos, F.lit(bins - 1))).otherwise(0)
+    def bin_of(v: str, low: float | None, high: float | None) -> Column:
+        if low is None or low == high:
+            return F.lit(0)
+        pos = F.floor((F.col(v) - F.lit(low)) / F.lit(high - low) * bins).cast("int")
+        return F.least(pos, F.lit(bins - 1))
 
     return (
         points.select(
-            bin_of("_x", "x0", "x1").alias("bin_x"), bin_of("_y", "y0", "y1").alias("bin_y"), label
+            bin_of("_x", x0, x1).alias("bin_x"), bin_of("_y", y0, y1).alias("bin_y"), label
         )
         .groupBy("bin_x", "bin_y", label)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +43,7 @@ def scatter_sample(df: DataFrame, label: str, n: int, seed: int, key: str) -> Da
     """A repeatable sample of at most n rows per label, with `rank`."""
     hashed = df.where(F.col(label).isNotNull()).withColumn("_h", seeded_hash(seed, key))
     order = [F.asc("_h"), F.asc(key)]
-    return top_k_per_group(hashed, [label], order, n, spread_on=[key]).drop("_h")
+    return top_k_per_group(hashed, [label], order, n).drop("_h")
 
 
 def annotated_points(

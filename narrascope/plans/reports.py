@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from narrascope.functions.sizing import materialize
 from narrascope.functions.vectors import quadrant
 from narrascope.operators import emotion, extremes, symbols, topics
-from narrascope.operators.clusters import kmeans_by
+from narrascope.operators.clusters import kmeans_assign, kmeans_fit_by
 from narrascope.operators.pca import PcaModel, pca_fit, pca_fit_by, pca_transform
 from narrascope.operators.sampling import sample_n
 from narrascope.operators.stats import resolve_author_col, resolve_text_col
@@ -51,7 +51,9 @@ def topic_report(
     keywords = model.keywords()
     assigned = model.assign(reports, text_col)
     facts = topics.join_keywords(
-        assigned, keywords.select("topic_id", F.col("short_keywords").alias("topic_keywords"))
+        assigned,
+        keywords.select("topic_id", F.col("short_keywords").alias("topic_keywords")),
+        bounded=True,
     )
     summary = topics.topic_summary(assigned, author_col, keywords=keywords)
     return FactsAndSummary(facts, summary), model
@@ -121,8 +123,9 @@ def semantic_map(
     if store:
         points = materialize(points, "semantic-map")
     local = pca_fit_by(points, "quadrant", 2, vector_col, min_rows)
+    centres = kmeans_fit_by(points, "quadrant", k_clusters, seed, vector_col)
     points = pca_transform(points, local, ("q_pca1", "q_pca2"), vector_col, "quadrant")
-    points = kmeans_by(points, "quadrant", k_clusters, seed, vector_col)
+    points = kmeans_assign(points, centres, vector_col, "quadrant")
     return SemanticMap(points, model, local)
 
 

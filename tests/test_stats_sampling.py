@@ -93,8 +93,8 @@ def test_sample_depends_on_seed_only(spark):
 def test_top_k_with_a_hot_group(spark):
     """One group has most of the rows; results are those of a plain sort."""
     rows = [("hot" if i % 10 else f"g{i % 7}", i, (i * 7919) % 1000) for i in range(4000)]
-    df = spark.createDataFrame(rows, "g string, id int, v int")
-    got = sampling.top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5, ["id"]).collect()
+    df = spark.createDataFrame(rows, "g string, id int, v int").repartition(16)
+    got = sampling.top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5).collect()
     want = set()
     for g in {r[0] for r in rows}:
         best = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:5]
@@ -104,6 +104,6 @@ def test_top_k_with_a_hot_group(spark):
 
 def test_top_k_cuts_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
-    plan = sampling.top_k_per_group(df, ["g"], [F.asc("id")], 5, ["id"])
+    plan = sampling.top_k_per_group(df, ["g"], [F.asc("id")], 5)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") >= 2
