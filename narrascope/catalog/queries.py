@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from narrascope.catalog import params as P
 from narrascope.functions import text as tx
 from narrascope.functions import vectors as vx
-from narrascope.functions.sizing import materialize, small_table, spread
+from narrascope.functions.sizing import materialize, scratch_path, small_table, spread
 from narrascope.operators import answers as an
 from narrascope.operators import clusters, emotion, extremes, pca, stats, symbols, topics, views
 from narrascope.operators.embedding import embed, feature_hash_embed
 from narrascope.operators.sampling import sample_n
-from narrascope.plans.reports import semantic_map
-from narrascope.sources.reports import distinct_ids
+from narrascope.plans.reports import emotion_report, semantic_map
+from narrascope.sinks.tables import write_by_quadrant, write_corpus
+from narrascope.sources.reports import distinct_ids, read_corpus, read_quadrant, scan_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY, TEXT = "doc_id", "text"
@@ -145,6 +146,45 @@ def dataset_ids(spark, sf_dir):
     return distinct_ids(table(spark, sf_dir, "documents"), "source")
 
 
+@query
+def scan_folder(spark, sf_dir):
+    """Write the documents as TSV files with two different headers, and read the folder back."""
+    d = documents(spark, sf_dir, KEY, TEXT, "lang").withColumnRenamed(TEXT, "dream")
+    folder = scratch_path(spark, "tsv")
+    german = F.col("lang") == "de"
+    write_corpus(d.where(german).select("dream", KEY), folder, "tsv")
+    write_corpus(d.where(~german).select(KEY, "lang", "dream"), folder, "tsv", mode="append")
+    corpus, _ = scan_reports(spark, folder, "*.csv")
+    return corpus.select(F.col(KEY).cast("long"), "lang", "dream")
+
+
+@query
+def corpus_round_trip(spark, sf_dir):
+    """Write all documents as one CSV corpus with quoted multi-line texts, and read it back."""
+    path = scratch_path(spark, "corpus")
+    write_corpus(documents(spark, sf_dir), path, "csv")
+    back = read_corpus(spark, path, "csv")
+    return back.withColumns({c: F.col(c).cast("long") for c in (KEY, "n_chars")})
+
+
+@query
+def one_quadrant(spark, sf_dir):
+    """Write the points by quadrant and read one quadrant's folder."""
+    path = scratch_path(spark, "quadrants")
+    write_by_quadrant(in_quadrants(spark, sf_dir).drop("quadrant_slug"), path)
+    return read_quadrant(spark, path, "dramatic_plus_cognitive").select("vec_id", "x", "y", "quadrant")
+
+
+@query
+def emotion_facts(spark, sf_dir):
+    """Scores put back on the full reports."""
+    d = documents(spark, sf_dir, KEY, TEXT, "source")
+    report = emotion_report(
+        d, lexicon(spark), KEY, TEXT, P.NEGATIVE_KEYWORDS, P.POSITIVE_KEYWORDS
+    )
+    return report.facts.withColumns(r4("sentiment_score"))
+
+
 @query
 def mean_text_length(spark, sf_dir):
     df = stats.mean_text_length(table(spark, sf_dir, "documents"))

@@ -76,5 +76,5 @@ def kmeans_by(
 def cluster_sizes(assigned: DataFrame, *columns: str) -> DataFrame:
     """Rows per cluster in order of the cluster id."""
     columns = columns or ("cluster",)
-    known = assigned.na.drop(subset=[columns[-1]])
+    known = assigned.where(F.col(columns[-1]).isNotNull())
     return count_by(known, *columns).orderBy(*columns)

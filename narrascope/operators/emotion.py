@@ -156,7 +156,9 @@ def mood_icon(mean_score: Column | str) -> Column:
 
 def topic_emotion(scored: DataFrame, topic_cols: Sequence[str] = ("topic_id",)) -> DataFrame:
     """Reports, mean score and extreme labels per topic, from the scariest to the happiest."""
-    known = scored.na.drop(subset=list(topic_cols))
+    known = scored
+    for c in topic_cols:
+        known = known.where(F.col(c).isNotNull())
     return (
         known.groupBy(*topic_cols)
         .agg(

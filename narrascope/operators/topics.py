@@ -135,7 +135,7 @@ def topic_summary(
     """Reports, words, mean words, authors and percent per topic, largest topic first."""
     authors = F.countDistinct(author_col) if author_col else F.lit(0).cast("long")
     stats = (
-        assigned.na.drop(subset=[topic])
+        assigned.where(F.col(topic).isNotNull())
         .groupBy(topic)
         .agg(
             F.count(F.lit(1)).alias("dreams_count"),

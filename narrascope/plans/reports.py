@@ -62,6 +62,7 @@ def topic_report(
 @dataclass(frozen=True)
 class EmotionReport:
     scored: DataFrame
+    facts: DataFrame
     distribution: DataFrame
     by_topic: DataFrame | None
     extremes: DataFrame
@@ -78,15 +79,18 @@ def emotion_report(
 ) -> EmotionReport:
     """Scores, label distribution, emotion per topic (when topics are known) and extremes.
 
-    The narrow score table feeds three results, so it is written once.
+    The narrow score table feeds all results, so it is written once. `facts` puts the scores back
+    on the full reports; it is the only result that shuffles their texts, and only when used.
     """
     text_col = text_col or resolve_text_col(reports)
     topic_cols = [c for c in ("topic_id", "topic_keywords") if c in reports.columns]
     scored = emotion.hybrid_score(reports, lexicon, key, text_col, neg, pos, keep=topic_cols)
     if store:
         scored = materialize(scored, "emotion")
+    facts = reports.join(scored.select(key, "sentiment_score", "sentiment_label"), key)
     return EmotionReport(
         scored,
+        facts,
         emotion.sentiment_distribution(scored),
         emotion.topic_emotion(scored, topic_cols) if "topic_id" in topic_cols else None,
         emotion.extreme_reports(scored, reports, key, text_col),

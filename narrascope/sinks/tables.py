@@ -26,11 +26,24 @@ SYMBOL_SUMMARY_COLUMNS = {
 }
 
 
-def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_corpus(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists"
+) -> None:
+    """Parquet, or CSV / TSV files that `read_corpus` and `scan_reports` read back unchanged."""
     writer = df.write.mode(mode)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
-    writer.format(fmt).save(path)
+    if fmt in ("csv", "tsv"):
+        writer = (
+            writer.format("csv")
+            .option("sep", "," if fmt == "csv" else "\t")
+            .option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
+    else:
+        writer = writer.format(fmt)
+    writer.save(path)
 
 
 def write_by_quadrant(
