@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from narrascope.catalog import params as P
-from narrascope.functions.text import NON_WORD, STRIP_CHARS, WHITESPACE
+from narrascope.functions.text import NON_WORD, STRIP_CHARS
 from narrascope.functions.vectors import FLOAT32_MAX, QUADRANTS
 from narrascope.operators import emotion as E
 
@@ -20,6 +20,11 @@ def values(rows, names: str) -> str:
     return f"(VALUES {body}) AS v({names})"
 
 
+# The characters on which a white-space split of a Unicode string breaks.
+WHITESPACE = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 CHARS = " || ".join(f"chr({ord(c)})" for c in STRIP_CHARS)
 SPLIT = rf"regexp_split_to_array(lower(text), '{NON_WORD}')"
 TOKENS = f"[t FOR t IN {SPLIT} IF t <> '']"
@@ -292,6 +297,10 @@ def all_sql() -> dict[str, str]:
             m AS (SELECT i, avg(x) AS mu FROM e GROUP BY i), z AS (SELECT vec_id, i, x - mu AS x FROM e JOIN m USING (i))
             SELECT a.i, b.i AS j, round(sum(a.x * b.x) / (count(*) - 1), 6) + 0e0 AS cov
             FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+        "group_variance": f"""WITH {QPOINTS}, e AS (SELECT {slug('quadrant')} AS quadrant_slug, vec_id,
+              generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM qp),
+            v AS (SELECT quadrant_slug, i, count(*) AS n, var_samp(x) AS v FROM e GROUP BY ALL)
+            SELECT quadrant_slug, max(n) AS n, round(sum(v), 6) AS total_variance FROM v GROUP BY quadrant_slug""",
         "kmeans_assign": f"WITH {CENTRES} SELECT vec_id, cluster FROM assigned",
         "cluster_sizes": f"WITH {CENTRES} SELECT cluster, count(*) AS n FROM assigned GROUP BY cluster",
         "axis_extremes": f"WITH {EXTREMES} SELECT * FROM ext",

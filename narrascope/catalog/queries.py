@@ -565,6 +565,15 @@ def pca_variance(spark, sf_dir):
     return found.withColumns({**r4("variance_ratio"), **r4("cumulative_ratio")})
 
 
+@query
+def group_variance(spark, sf_dir):
+    """Rows and total variance of every quadrant, from the sums that the local fits use."""
+    models = pca.pca_fit_by(in_quadrants(spark, sf_dir), "quadrant_slug", 1)
+    rows = [(g, m.n, m.total_variance) for g, m in sorted(models.items())]
+    found = small_table(spark, rows, "quadrant_slug string, n long, total_variance double")
+    return found.withColumn("total_variance", F.round("total_variance", 6))
+
+
 @query
 def pca_coords(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

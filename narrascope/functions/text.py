@@ -7,13 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters on which a white-space split of a Unicode string breaks.
-WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
-# The same for a text of single-byte characters only, where the pattern is matched faster.
-ASCII_WHITESPACE = r"[\x09-\x0d\x1c-\x20]+"
+# Fixed value: runs of white space, the Unicode white-space characters and the four separators before
+# the blank.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 # Fixed value: everything that is neither a letter, a number nor an underscore separates tokens.
 NON_WORD = r"[^\p{L}\p{N}_]+"
 # Fixed value: a token made of three or more ASCII letters.
@@ -48,13 +44,7 @@ def strip(text: Column | str) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """Number of white-space separated words."""
-    t = _col(text)
-
-    def words(pattern: str) -> Column:
-        return F.size(F.array_remove(F.split(t, pattern), ""))
-
-    single_byte = F.octet_length(t) == F.length(t)
-    return F.when(single_byte, words(ASCII_WHITESPACE)).otherwise(words(WHITESPACE))
+    return F.size(F.array_remove(F.split(_col(text), WHITESPACE), ""))
 
 
 def clean_symbol(symbol: Column | str) -> Column:

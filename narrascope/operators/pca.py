@@ -40,6 +40,7 @@ class PcaModel:
     loadings: np.ndarray
     variance: np.ndarray
     ratio: np.ndarray
+    total_variance: float
 
 
 def _sum_rows(sums: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +159,7 @@ def pca_fit_by(
             np.asarray(r["loadings"]).reshape(mean.size, -1),
             variance,
             variance / total if total > 0 else np.zeros_like(variance),
+            total,
         )
     return models
 

@@ -4,8 +4,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from narrascope.catalog import queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -48,6 +50,31 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, found.fetchall())
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "symbol_summary", "symbol_counts", "hybrid_score", "extreme_reports", "vocabulary",
+        "topic_keywords", "topic_summary", "feature_hash", "covariance", "cluster_sizes",
+        "axis_extremes", "intruder_rounds", "accuracy", "sample_n", "median_split",
+        "scatter_sample", "symbol_dedupe", "annotated_points",
+    ],
+)
+def test_partitions_do_not_matter(spark, duck, sf_dir, monkeypatch, name, parts):
+    """Inputs in another order and in 1 or 13 partitions give the same result."""
+    plain_table = queries.table
+
+    def shuffled(session, folder, table):
+        return plain_table(session, folder, table).orderBy(F.rand(parts)).repartition(parts)
+
+    monkeypatch.setattr(queries, "table", shuffled)
+    monkeypatch.setattr(queries, "spread", lambda df: df)
+    df = QUERIES[name](spark, sf_dir)
+    found = duck.execute(ORACLE[name])
+    columns = [c[0] for c in found.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, found.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_rows_only(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)

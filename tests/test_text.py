@@ -26,6 +26,12 @@ def test_word_count_is_python_split(spark):
     assert [r["n"] for r in rows] == [len(r["text"].split()) for r in rows]
 
 
+def test_every_white_space_character_splits(one):
+    for c in tx.STRIP_CHARS:
+        assert one(tx.word_count(F.lit(f"a{c}b{c}{c}c{c}"))) == 3, hex(ord(c))
+    assert one(tx.word_count(F.lit("a\u200bb"))) == 1  # not white space
+
+
 def test_tokens_are_word_runs(spark):
     rows = frame(spark, SAMPLES).select("text", tx.tokens("text").alias("t")).collect()
     assert [r["t"] for r in rows] == [python_tokens(r["text"]) for r in rows]
