@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 ITERATIVE_STORAGE = StorageLevel.MEMORY_AND_DISK
+_local_folders: dict[str, str] = {}
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -59,22 +60,29 @@ def broadcast_if_small(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For a scan: use all cores when the files give fewer splits than cores, else change nothing."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """For a scan: even out a small input over the cores; a large one is left alone.
+
+    A file with few row groups gives splits without rows, so fewer than two splits per core may
+    leave cores idle. Such an input has at most two splits of data per core to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores > 1 and df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    A session without that setting (a local test) gets a new temporary folder, which is remembered
-    in the session.
+    Without that setting (a local test) an application gets one new temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="narrascope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="narrascope-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
