@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.common import hashed, ship, steps, stored, utf8, windows
@@ -126,6 +126,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
     return wanted.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(map(" ".join, zip(names, kinds, strict=True))))
 
 
+def _above(ratio: str, cuts: np.ndarray) -> Column:
+    """How many cutoffs a document is above."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c < F.col(ratio)))
+
+
 def certify(
     measured: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA, min_good: int = MIN_GOOD
 ) -> Rules:
@@ -144,7 +149,7 @@ def certify(
     steps_above = [
         F.struct(
             F.lit(k).alias("ratio"),
-            F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c, k=k: c < F.col(k))).alias("above"),
+            _above(k, cuts).alias("above"),
         )
         for k, cuts in RATIOS.items()
     ]
