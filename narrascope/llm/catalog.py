@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from narrascope.llm import decontaminate, jaccard, quality_rules
+from narrascope.functions.sizing import scratch_path
+from narrascope.llm import decontaminate, jaccard, packing, quality_rules, token_files
 from narrascope.llm.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,12 @@ def op1_jaccard_join(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=3, percent=90)
 
 
+@query
+def op3_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op5_quality_rules(spark, folder):
     judged = quality_rules.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -38,6 +46,14 @@ def op7_decontamination(spark, folder):
     return found.drop("items", "spans")
 
 
+@query
+def op10_token_files(spark, folder):
+    path = scratch_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path)
+    found = token_files.read(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

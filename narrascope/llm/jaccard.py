@@ -335,7 +335,7 @@ def similar_sets(docs: DataFrame, *, width: int, percent: int, tile: int = TILE)
     found = _with_sets(docs.join(broadcast_if_small(keepers), "doc_id"), width)
     sets = _tiled(stored(found, "jaccard-sets"), tile)
     everywhere = F.when(F.col("is_middle"), F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array("own_tile"))
-    first = sets.withColumn("tile", F.explode(everywhere).cast("string")).withColumn("piece", F.lit(None).cast("long"))
+    first = sets.withColumn("tile", F.explode(everywhere)).withColumn("tile", F.col("tile").cast("string")).withColumn("piece", F.lit(None).cast("long"))
     links = stored(_linked(first, percent), "jaccard-links")
     labels = components(links, "jaccard-labels")
     # Pairs across the tiles of clusters that the first search has left in several pieces.
