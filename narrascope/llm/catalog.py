@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import scratch_path
-from narrascope.llm import decontaminate, jaccard, packing, quality_rules, token_files
+from narrascope.llm import class_lm, decontaminate, jaccard, packing, pii, quality_rules, token_files
 from narrascope.llm.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +40,22 @@ def op5_quality_rules(spark, folder):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+@query
+def op6_class_lm(spark, folder):
+    return class_lm.score(table(spark, folder, "documents"))
+
+
 @query
 def op7_decontamination(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("items", "spans")
 
 
+@query
+def op9_pii(spark, folder):
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
 @query
 def op10_token_files(spark, folder):
     path = scratch_path(spark, "token-files")
