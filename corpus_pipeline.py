@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from narrascope.functions.sizing import scratch_path
-from narrascope.llm import decontaminate, jaccard, quality_rules
+from narrascope.llm import decontaminate, jaccard, packing, pii, quality_rules
 
 
 def good_documents(spark, docs, sf_dir):
@@ -21,10 +21,22 @@ def clean_of_benchmark(spark, docs, sf_dir):
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def redacted(spark, docs, sf_dir):
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark, docs, sf_dir):
+    """Pieces of the documents' token ids in sequences of 1,024."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", good_documents),
     ("near_duplicates", one_of_each_group),
     ("decontamination", clean_of_benchmark),
+    ("pii", redacted),
+    ("packing", packed),
 ]
 
 #: The cutoffs of the first stage come from exact binomial tests, which SQL cannot express.

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import scratch_path
-from narrascope.llm import class_lm, decontaminate, jaccard, packing, pii, quality_rules, token_files
+from narrascope.llm import (
+    class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules, token_files,
+)
 from narrascope.llm.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +30,22 @@ def op1_jaccard_join(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=3, percent=90)
 
 
+@query
+def op2_html_render(spark, folder):
+    return html_render.visible_text(table(spark, folder, "pages"))
+
+
 @query
 def op3_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op4_importance(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op5_quality_rules(spark, folder):
     judged = quality_rules.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -51,6 +63,11 @@ def op7_decontamination(spark, folder):
     return found.drop("items", "spans")
 
 
+@query
+def op8_piece_counts(spark, folder):
+    return piece_counts.token_counts(table(spark, folder, "documents"))
+
+
 @query
 def op9_pii(spark, folder):
     return pii.digest(pii.find(table(spark, folder, "documents")))

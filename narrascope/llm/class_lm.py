@@ -125,12 +125,12 @@ def _block_sums(docs: DataFrame, rows: int, columns: int, cells) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "raw"])
 
     schema = "block long, raw binary"
-    return docs.mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(add, schema)
+    return docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
 
 
 def _matrix(blocks: DataFrame, rows: int, columns: int) -> np.ndarray:
     out = np.zeros((-(-rows // _BLOCK) * _BLOCK, columns), np.int64)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["raw"], np.int64).reshape(_BLOCK, columns)
     return out[:rows]
 
