@@ -14,7 +14,7 @@ from narrascope.llm.common import ship
 # Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table ul".split()
