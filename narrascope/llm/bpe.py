@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -12,13 +14,13 @@ END_ID = 0
 #: Characters for which cutting at single spaces and line breaks never cuts a token: printable ASCII,
 #: line breaks, the Latin letters from U+00C0 on, and general punctuation.
 _OTHER = re.compile("[^\n\x20-\x7eÀ-ɏ‐-‧]")
-#: A run of white space that a cut at spaces or line breaks could split in a wrong place.
+#: Runs of white space that a cut at spaces or line breaks could split in a wrong place.
 _PIECES = re.compile(
     "'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\n"
 )
 #: A tokenizer that cuts this text otherwise is not byte-level, and gets every text as a whole.
 _PROBE = "It's a Test, no 12 (of é–ü).\nShe'll 'go' x_1!"
-_RUNS = re.compile("  |\n |\n\n|\\A\n|\n\\Z| \n")
+_RUNS = ("  ", "\n ", "\n\n", " \n")
 
 
 def default_path() -> str:
@@ -35,21 +37,39 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Ids of every word met, as bytes; forgets all of them at `limit` words."""
+    """Ids of the words met, as bytes.
+
+    Frequent words come early, so at `limit` words later ones are encoded without being kept; after
+    twice as many of these everything is forgotten, in case the texts have changed.
+    """
 
     def __init__(self, tokenizer, dtype, limit: int):
-        self.model, self.dtype, self.limit = tokenizer.model, dtype, limit
+        self.model, self.limit, self.beyond = tokenizer.model, limit, 0
+        self.kind = "H" if dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
+        self.space = self.letters[32]
 
-    def piece(self, text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+    def ids(self, shown: str) -> bytes:
+        found = array(self.kind, [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def encoded(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self.ids(self.space + word)
         pieces = _PIECES.findall(word if word[:1] == "\n" else " " + word)
-        value = self[word] = b"".join(map(self.piece, pieces))
+        return b"".join([self.ids(p.encode().decode("latin-1").translate(self.letters)) for p in pieces])
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.encoded(word)
+        if len(self) < self.limit:
+            self[word] = value
+        else:
+            self.beyond += 1
+            if self.beyond > 2 * self.limit:
+                self.clear()
+                self.beyond = 0
         return value
 
 
@@ -76,9 +96,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def can_cut(self, text: str) -> bool:
-        return not (
-            _OTHER.search(text) or _RUNS.search(text) or text[-1:] == " " or any(s in text for s in self.special)
-        )
+        if any(run in text for run in _RUNS) or text[:1] == "\n" or text[-1:] in (" ", "\n"):
+            return False
+        plain = text.replace("\n", "").isprintable() if text.isascii() else not _OTHER.search(text)
+        return plain and not any(s in text for s in self.special)
 
     def encode_cut(self, text: str) -> bytes:
         words = text.replace("\n", " \n").split(" ")
