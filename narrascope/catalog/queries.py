@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from narrascope.catalog import params as P
 from narrascope.functions import text as tx
 from narrascope.functions import vectors as vx
-from narrascope.functions.sizing import materialize, scratch_path, small_table, spread
+from narrascope.functions.sizing import materialize, scratch_path, small_table
 from narrascope.operators import answers as an
 from narrascope.operators import clusters, emotion, extremes, pca, stats, symbols, topics, views
 from narrascope.operators.embedding import embed, feature_hash_embed
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,6 +335,19 @@ def symbol_counts(spark, sf_dir):
     return symbols.symbol_counts(reports(spark, sf_dir), dictionary(spark), KEY, TEXT)
 
 
+@query
+def symbol_counts_joined(spark, sf_dir):
+    index = symbols.SymbolIndex.build(dictionary(spark), max_literal=0)
+    return symbols.symbol_counts(reports(spark, sf_dir), index, KEY, TEXT)
+
+
+@query
+def symbol_match_joined(spark, sf_dir):
+    index = symbols.SymbolIndex.build(dictionary(spark), max_literal=0)
+    matched = symbols.symbol_match(reports(spark, sf_dir), index, KEY, TEXT)
+    return matched.select(KEY, "word_count", "matched_symbol", "interpretation")
+
+
 @query
 def symbol_match(spark, sf_dir):
     matched = symbols.symbol_match(reports(spark, sf_dir), dictionary(spark), KEY, TEXT)
@@ -352,9 +365,9 @@ def symbol_summary(spark, sf_dir):
 
 @query
 def top_symbols(spark, sf_dir):
-    """The five most frequent symbols of the summary."""
+    """The twenty most frequent symbols of the summary."""
     columns = ["matched_symbol", "dreams_count", "percent", "interpretation_snippet"]
-    return symbols.top_symbols(symbol_summary(spark, sf_dir), 5, columns)
+    return symbols.top_symbols(symbol_summary(spark, sf_dir), 20, columns)
 
 
 @query
@@ -401,6 +414,17 @@ def hybrid_score(spark, sf_dir):
     )
 
 
+@query
+def two_datasets(spark, sf_dir):
+    """Two datasets that number their reports alike: dataset and number name a report."""
+    d = reports(spark, sf_dir)
+    both = d.withColumn("dataset_id", F.lit("a")).union(d.withColumn("dataset_id", F.lit("b")))
+    found = emotion.hybrid_score(
+        both, lexicon(spark), ["dataset_id", KEY], TEXT, P.NEGATIVE_KEYWORDS, P.POSITIVE_KEYWORDS
+    )
+    return found.select("dataset_id", KEY, F.round("sentiment_score", 4).alias("sentiment_score"), "sentiment_label")
+
+
 @query
 def sentiment_distribution(spark, sf_dir):
     return emotion.sentiment_distribution(scored(spark, sf_dir)).withColumns(r4("percent"))
@@ -449,9 +473,8 @@ def topic_join_keywords(spark, sf_dir):
 
 @query
 def dominant_topic(spark, sf_dir):
-    weights = F.slice("embedding", 1, 10)
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", topics.dominant_topic(weights).alias("topic_id"))
+    return e.select("vec_id", topics.dominant_topic("embedding").alias("topic_id"))
 
 
 @query
@@ -465,9 +488,7 @@ def topic_summary(spark, sf_dir):
 
 
 def _topic_model(spark, sf_dir):
-    return topics.topics_fit(
-        reports(spark, sf_dir), TEXT, k=10, max_iter=10, stop_words=P.STOP_WORDS, min_df=5
-    )
+    return topics.topics_fit(reports(spark, sf_dir), TEXT, stop_words=P.STOP_WORDS)
 
 
 @query
@@ -482,6 +503,24 @@ def lda_assign(spark, sf_dir):
     return assigned.select(KEY, "source", "word_count", "topic_id")
 
 
+@query
+def lda_checks(spark, sf_dir):
+    """What holds for any fit: every document once, weights that sum to one, topic numbers in range.
+
+    A document without any term of the vocabulary has no weights.
+    """
+    model = _topic_model(spark, sf_dir)
+    found = model.assign(reports(spark, sf_dir), TEXT)
+    total = F.aggregate("topic_weights", F.lit(0.0), lambda s, w: s + w)
+    top = model.top_words()
+    heavier = top.alias("a").join(top.alias("b"), F.expr("a.topic_id = b.topic_id and a.rank + 1 = b.rank and a.weight < b.weight"))
+    return found.agg(
+        F.count_distinct(KEY).alias("n_docs"),
+        F.count_if((F.abs(total - 1) > 1e-6) & (total > 0)).alias("n_bad_sums"),
+        F.count_if(~F.col("topic_id").between(1, 100)).alias("n_bad_topics"),
+    ).withColumns({"n_topics": F.lit(top.select("topic_id").distinct().count()), "n_unordered": F.lit(heavier.count())})
+
+
 # ---------------------------------------------------------------- joins, counts, unions
 
 
@@ -590,6 +629,44 @@ def pca_by_group(spark, sf_dir):
     return out.withColumns({**r4("q_pca1"), **r4("q_pca2")})
 
 
+@query
+def pca_checks(spark, sf_dir):
+    """Per quadrant with all components: zero means and cross terms, and the spread of the vectors kept."""
+    q = in_quadrants(spark, sf_dir)
+    n = len(q.select("embedding").first()["embedding"])
+    names = [f"c{i}" for i in range(n)]
+    models = pca.pca_fit_by(q, "quadrant_slug", n)
+    out = pca.pca_transform(q, models, names, group="quadrant_slug").where("c0 is not null")
+    squares = sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))
+    return out.groupBy("quadrant_slug").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.greatest(*(F.abs(F.avg(c)) for c in names)) < 1e-6).alias("centred"),
+        (F.abs(F.covar_pop("c0", "c1")) + F.abs(F.covar_pop("c1", "c2")) < 1e-6).alias("uncorrelated"),
+        F.round(F.sum(squares), 3).alias("sum_squares"),
+    )
+
+
+@query
+def kmeans_checks(spark, sf_dir):
+    """Rows and clusters per quadrant, and rows that lie nearer to another cluster's mean than to their own."""
+    q = in_quadrants(spark, sf_dir)
+    found = materialize(clusters.kmeans_by(q, "quadrant_slug").where("cluster is not null"), "kmeans-checks")
+    own = found.select("quadrant_slug", "cluster", F.posexplode("embedding").alias("i", "v"))
+    means = own.groupBy("quadrant_slug", "cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    means = means.groupBy("quadrant_slug", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
+    means = means.groupBy("quadrant_slug").agg(F.collect_list(F.struct("cluster", F.col("m.v").alias("v"))).alias("centres"))
+
+    def distance(m):
+        return F.aggregate(F.zip_with("embedding", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+    near = F.transform("centres", lambda c: F.struct(distance(c["v"]).alias("d"), c["cluster"].alias("cluster")))
+    mine = F.filter(near, lambda c: c["cluster"] == F.col("cluster"))[0]["d"]
+    joined = found.join(means, "quadrant_slug").withColumn("away", mine > F.array_min(near)["d"] * 1.05 + 1e-9)
+    return joined.groupBy("quadrant_slug").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("n_clusters"), F.count_if("away").alias("n_away")
+    )
+
+
 @query
 def kmeans_by_group(spark, sf_dir):
     q = in_quadrants(spark, sf_dir)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-ITERATIVE_STORAGE = StorageLevel.MEMORY_AND_DISK
 _local_folders: dict[str, str] = {}
 
 
@@ -59,32 +58,27 @@ def broadcast_if_small(
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For a scan: even out a small input over the cores; a large one is left alone.
-
-    A file with few row groups gives splits without rows, so fewer than two splits per core may
-    leave cores idle. Such an input has at most two splits of data per core to move.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and df.rdd.getNumPartitions() < 2 * cores:
-        return df.repartition(cores)
-    return df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Without that setting (a local test) an application gets one new temporary folder.
+    Only a session inside one process may go without that setting; it gets one new temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="narrascope-")
     return _local_folders[app]
 
 
+def as_list(key: str | Sequence[str]) -> list[str]:
+    """Key columns as a list; a report may be named by several columns, such as dataset and number."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import broadcast_if_small, small_table
+from narrascope.functions.sizing import MAX_BROADCAST_ROWS, as_list, small_table
 from narrascope.operators.stats import drop_null_text, with_percent
 
 # Keywords that lower the score.
@@ -49,10 +52,12 @@ def keyword_count(text: Column | str, keywords: Sequence[str]) -> Column:
 
 
 def sentiment_label(score: Column | str) -> Column:
-    """Five classes, tested in this order."""
+    """Five classes, tested in this order; a null or NaN score has no label."""
     s = F.col(score) if isinstance(score, str) else score
+    # The thresholds.
     return (
-        F.when(s >= 0.3, BLISSFUL)
+        F.when(s.isNull() | F.isnan(s), F.lit(None))
+        .when(s >= 0.3, BLISSFUL)
         .when(s >= 0.05, POSITIVE)
         .when(s <= -0.4, NIGHTMARE)
         .when(s <= -0.05, NEGATIVE)
@@ -68,33 +73,44 @@ def hybrid(base: Column, neg_hits: Column, pos_hits: Column) -> Column:
 
 def keyword_hits(
     reports: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     text_col: str,
     neg: Sequence[str] = NIGHTMARE_KEYWORDS,
     pos: Sequence[str] = BLISS_KEYWORDS,
 ) -> DataFrame:
     return drop_null_text(reports, text_col).select(
-        key,
+        *as_list(key),
         keyword_count(text_col, neg).alias("neg_hits"),
         keyword_count(text_col, pos).alias("pos_hits"),
     )
 
 
-def _valence_sums(
-    rows: DataFrame, words: Column, lexicon: DataFrame, keep: Sequence[str]
-) -> DataFrame:
-    """Sum of the valences of a row's tokens, one row per `keep`.
+def _valence_of(lexicon: DataFrame) -> tuple[list[str], list[float]]:
+    """The lexicon by lower-cased word; several entries of a word count with their mean.
 
-    The tokens of one row lie in one task, so the partial aggregate already gives one narrow row per
-    report before the shuffle; the text itself is never shuffled.
+    A lexicon is a list of words that people have rated, so it is held by every task. Its size is
+    checked; a table beyond the bound is no lexicon and is refused.
     """
-    valence = lexicon.select(F.lower("word").alias("_w"), F.col("valence").cast("double").alias("_v"))
-    return (
-        rows.select(*keep, F.explode_outer(words).alias("_w"))
-        .join(broadcast_if_small(valence), "_w", "left")
-        .groupBy(*keep)
-        .agg(F.round(F.coalesce(F.sum("_v"), F.lit(0.0)), 6).alias("valence_sum"))
-    )
+    valence = lexicon.where("word is not null and valence is not null").groupBy(F.lower("word").alias("w"))
+    rows = valence.agg(F.avg(F.col("valence").cast("double")).alias("v")).limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(rows) > MAX_BROADCAST_ROWS:
+        raise ValueError(f"a lexicon may have {MAX_BROADCAST_ROWS} words")
+    return [r["w"] for r in rows], [r["v"] for r in rows]
+
+
+def valence_sum(words: Column, lexicon: DataFrame) -> Column:
+    """Sum of the valences of an array of tokens, looked up batch by batch: no shuffle, no explode."""
+    known, values = _valence_of(lexicon)
+
+    @F.arrow_udf("double")
+    def total(tokens: pa.Array) -> pa.Array:
+        at = pc.index_in(tokens.flatten(), pa.array(known, pa.string()))
+        found = pc.fill_null(pc.take(pa.array(values, pa.float64()), at), 0.0).to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0.0], np.cumsum(found)])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        return pa.array(sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(ends) else [], pa.float64())
+
+    return F.round(total(words), 6)
 
 
 def _normalised(total: Column) -> Column:
@@ -102,36 +118,53 @@ def _normalised(total: Column) -> Column:
 
 
 def lexicon_score(
-    reports: DataFrame, lexicon: DataFrame, key: str, text_col: str, keep: Sequence[str] = ()
+    reports: DataFrame, lexicon: DataFrame, key: str | Sequence[str], text_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Base score in (-1, 1) from a (word, valence) table; a report without known words scores 0."""
     rows = drop_null_text(reports, text_col)
-    sums = _valence_sums(rows, tx.tokens(text_col), lexicon, [key, *keep])
+    sums = rows.select(*as_list(key), *keep, valence_sum(tx.tokens(text_col), lexicon).alias("valence_sum"))
     return sums.withColumn("base_score", _normalised(F.col("valence_sum")))
 
 
+def _with_scores(reports: DataFrame, lexicon: DataFrame, text_col: str, neg: Sequence[str], pos: Sequence[str]) -> DataFrame:
+    """All columns with hits, scores and label, row by row."""
+    scored = drop_null_text(reports, text_col).withColumns(
+        {
+            "neg_hits": keyword_count(text_col, neg),
+            "pos_hits": keyword_count(text_col, pos),
+            "valence_sum": valence_sum(tx.tokens(text_col), lexicon),
+        }
+    )
+    scored = scored.withColumn("base_score", _normalised(F.col("valence_sum")))
+    scored = scored.withColumn("sentiment_score", hybrid(F.col("base_score"), F.col("neg_hits"), F.col("pos_hits")))
+    return scored.withColumn("sentiment_label", sentiment_label("sentiment_score"))
+
+
 def hybrid_score(
     reports: DataFrame,
     lexicon: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     text_col: str,
     neg: Sequence[str] = NIGHTMARE_KEYWORDS,
     pos: Sequence[str] = BLISS_KEYWORDS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, keep..., base_score, hits, sentiment_score, sentiment_label) in one scan of the text."""
-    rows = drop_null_text(reports, text_col).select(
-        key,
-        *keep,
-        keyword_count(text_col, neg).alias("neg_hits"),
-        keyword_count(text_col, pos).alias("pos_hits"),
-        tx.tokens(text_col).alias("_tokens"),
-    )
-    sums = _valence_sums(rows, F.col("_tokens"), lexicon, [key, *keep, "neg_hits", "pos_hits"])
-    scored = sums.withColumn("base_score", _normalised(F.col("valence_sum")))
-    return scored.withColumn(
-        "sentiment_score", hybrid(F.col("base_score"), F.col("neg_hits"), F.col("pos_hits"))
-    ).withColumn("sentiment_label", sentiment_label("sentiment_score"))
+    """(key, keep..., base_score, hits, sentiment_score, sentiment_label), row by row without a shuffle."""
+    scored = _with_scores(reports, lexicon, text_col, neg, pos)
+    names = ("neg_hits", "pos_hits", "valence_sum", "base_score", "sentiment_score", "sentiment_label")
+    return scored.select(*as_list(key), *keep, *names)
+
+
+def emotion_facts(
+    reports: DataFrame,
+    lexicon: DataFrame,
+    text_col: str,
+    neg: Sequence[str] = NIGHTMARE_KEYWORDS,
+    pos: Sequence[str] = BLISS_KEYWORDS,
+) -> DataFrame:
+    """All columns of `reports` with score and label, row by row; no key is needed."""
+    scored = _with_scores(reports, lexicon, text_col, neg, pos)
+    return scored.drop("neg_hits", "pos_hits", "valence_sum", "base_score")
 
 
 def sentiment_distribution(scored: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from narrascope.functions.sizing import materialize
+
 # The names under which a report text is looked for first.
 TEXT_COLUMN_NAMES = ("report", "content", "dream", "description")
 # Fixed value: a missing text counts with the length of its printed form, `nan`.
@@ -68,12 +70,12 @@ def drop_null_text(df: DataFrame, text_col: str) -> DataFrame:
 def with_percent(summary: DataFrame, count_col: str, out: str = "percent") -> DataFrame:
     """Percent of the total of `count_col`.
 
-    `summary` is an aggregate (one row per label, topic or symbol), so the window sees a handful of
-    rows, never reports. A second query for the total would run the whole input again, because
-    column pruning makes its shuffle differ from the first one.
+    `summary` is an aggregate (one row per label, topic or symbol). It is stored once; the total is a
+    partial sum per task over the stored rows and becomes a constant.
     """
-    total = F.sum(count_col).over(Window.partitionBy(F.lit(1)))
-    return summary.withColumn(out, F.try_divide(F.col(count_col) * F.lit(100.0), total))
+    summary = materialize(summary, "percent")
+    total = summary.agg(F.sum(count_col)).first()[0]
+    return summary.withColumn(out, F.try_divide(F.col(count_col) * F.lit(100.0), F.lit(total).cast("double")))
 
 
 def count_by(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
@@ -81,12 +83,12 @@ def count_by(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
 
 
 def source_counts(df: DataFrame, source_col: str) -> DataFrame:
-    """Rows per source and, with a null source, the total.
+    """Rows per source, and the total in a row of its own, marked by `is_total`: a source may be null.
 
     The rollup runs on the per-source counts, not on the rows.
     """
     per_source = count_by(df, source_col)
-    return per_source.rollup(source_col).agg(F.sum("n").alias("n"))
+    return per_source.rollup(source_col).agg(F.sum("n").alias("n"), (F.grouping(source_col) == 1).alias("is_total"))
 
 
 def union_by_name(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -162,7 +164,11 @@ LOW_LABEL = "Everyday / mundane"
 
 
 def median_split(df: DataFrame, value: str, out: str = "split_label") -> DataFrame:
-    """Label rows at or above the exact median, and the rest. The median is a literal in the plan."""
+    """Label rows at or above the exact median, and the rest; a null or NaN value has no label.
+
+    The median is a literal in the plan.
+    """
     threshold = exact_median(df, value)
-    label = F.when(F.col(value).cast("double") >= F.lit(threshold), HIGH_LABEL).otherwise(LOW_LABEL)
-    return df.withColumn(out, label)
+    v = F.col(value).cast("double")
+    label = F.when(v >= F.lit(threshold), HIGH_LABEL).otherwise(LOW_LABEL)
+    return df.withColumn(out, F.when(v.isNotNull() & ~F.isnan(v), label))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import MAX_BROADCAST_BYTES, broadcast_if_small, small_table
+from narrascope.functions.sizing import MAX_BROADCAST_BYTES, as_list, broadcast_if_small, materialize, small_table
 from narrascope.operators.stats import drop_null_text, with_percent
 
 UNCATEGORIZED = "Uncategorized"
@@ -127,77 +127,83 @@ def _index(dictionary: DataFrame | SymbolIndex) -> SymbolIndex:
     return dictionary if isinstance(dictionary, SymbolIndex) else SymbolIndex.build(dictionary)
 
 
-def _phrase_table(reports: DataFrame, key: str, text_col: str, distinct: bool) -> DataFrame:
+def _phrase_table(reports: DataFrame, keys: Sequence[str], text_col: str, distinct: bool) -> DataFrame:
     grams = tx.ngrams(tx.tokens(text_col), 1, MAX_WORDS)
-    return reports.select(key, F.explode(F.array_distinct(grams) if distinct else grams).alias("clean"))
+    return reports.select(*keys, F.explode(F.array_distinct(grams) if distinct else grams).alias("clean"))
+
+
+def _numbered(reports: DataFrame) -> DataFrame:
+    """`reports` with a number of its own for every row, stored so that it stays the same.
+
+    Rows may share a key or have none; what is counted per report goes by this number.
+    """
+    return materialize(reports.withColumn("_row", F.monotonically_increasing_id()), "symbol-reports")
 
 
 def symbol_hits(
-    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str, text_col: str
+    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str | Sequence[str], text_col: str
 ) -> DataFrame:
     """(key, clean, ord, n_words): every symbol that occurs in a report, once."""
-    index = _index(dictionary)
+    index, keys = _index(dictionary), as_list(key)
     reports = drop_null_text(reports, text_col)
     if index.ranked is None:
-        found = _phrase_table(reports, key, text_col, distinct=True)
+        found = _phrase_table(reports, keys, text_col, distinct=True)
     else:
         hits = F.array_intersect(index.symbols(), index.phrases(tx.tokens(text_col)))
-        found = reports.select(key, F.explode(hits).alias("clean"))
-    return found.join(index.columns("clean", "ord", "n_words"), "clean").select(key, "clean", "ord", "n_words")
+        found = reports.select(*keys, F.explode(hits).alias("clean"))
+    return found.join(index.columns("clean", "ord", "n_words"), "clean").select(*keys, "clean", "ord", "n_words")
 
 
 def symbol_counts(
-    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str, text_col: str
+    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str | Sequence[str], text_col: str
 ) -> DataFrame:
     """(key, clean, cnt): how often each symbol occurs in a report."""
-    index = _index(dictionary)
+    index, keys = _index(dictionary), as_list(key)
     reports = drop_null_text(reports, text_col)
     if index.ranked is None:
         return (
-            _phrase_table(reports, key, text_col, distinct=False)
+            _phrase_table(_numbered(reports.select(*keys, text_col)), ["_row", *keys], text_col, distinct=False)
             .join(index.columns("clean"), "clean", "left_semi")
-            .groupBy(key, "clean")
+            .groupBy("_row", *keys, "clean")
             .agg(F.count(F.lit(1)).alias("cnt"))
+            .drop("_row")
         )
     if not index.ranked:
-        return reports.limit(0).select(key, F.lit("").alias("clean"), F.lit(0).cast("long").alias("cnt"))
+        return reports.limit(0).select(*keys, F.lit("").alias("clean"), F.lit(0).cast("long").alias("cnt"))
     known = F.filter(index.phrases(tx.tokens(text_col)), lambda g: g.isin(*index.ranked))
-    return reports.select(key, F.inline(tx.bag(known))).select(
-        key, F.col("term").alias("clean"), "cnt"
+    return reports.select(*keys, F.inline(tx.bag(known))).select(
+        *keys, F.col("term").alias("clean"), "cnt"
     )
 
 
 def symbol_match(
-    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str, text_col: str
+    reports: DataFrame, dictionary: DataFrame | SymbolIndex, key: str | Sequence[str], text_col: str
 ) -> DataFrame:
     """All columns of `reports` with `word_count`, `matched_symbol` and `interpretation`.
 
     The best symbol has the most words; among equals the earlier dictionary entry wins. Reports
-    without a symbol are kept. With a dictionary of up to `MAX_LITERAL_SYMBOLS` symbols the match is
-    a row-local expression and the reports are not shuffled.
+    without a symbol are kept, and rows that share a key are matched one by one. With a dictionary of
+    up to `MAX_LITERAL_SYMBOLS` symbols the match is a row-local expression and the reports are not
+    shuffled; with a larger one they are numbered, and joined once with the best symbol of each.
     """
     index = _index(dictionary)
     reports = drop_null_text(reports, text_col).withColumn("word_count", tx.word_count(text_col))
-    info = index.columns(
-        F.col("clean").alias("_best"),
-        F.col("symbol").alias("matched_symbol"),
-        F.col("meaning").alias("interpretation"),
-    )
     if index.ranked is None:
-        best = (
-            symbol_hits(reports, index, key, text_col)
-            .groupBy(key)
-            .agg(F.min_by("clean", F.struct(-F.col("n_words"), F.col("ord"))).alias("_best"))
-        )
-        matched = reports.join(best, key, "left")
+        reports = _numbered(reports)
+        hits = _phrase_table(reports, ["_row"], text_col, distinct=True)
+        hits = hits.join(index.columns("clean", "ord", "n_words", "symbol", "meaning"), "clean")
+        found = F.struct(F.col("symbol").alias("matched_symbol"), F.col("meaning").alias("interpretation"))
+        best = hits.groupBy("_row").agg(F.min_by(found, F.struct(-F.col("n_words"), F.col("ord"))).alias("_best"))
+        matched = reports.join(best, "_row", "left").select("*", "_best.*").drop("_row", "_best")
     else:
+        info = index.columns(
+            F.col("clean").alias("_best"),
+            F.col("symbol").alias("matched_symbol"),
+            F.col("meaning").alias("interpretation"),
+        )
         hits = F.array_intersect(index.symbols(), index.phrases(tx.tokens(text_col)))
-        matched = reports.withColumn("_best", F.get(hits, F.lit(0)))
-    return (
-        matched.join(info, "_best", "left")
-        .drop("_best")
-        .withColumn("matched_symbol", F.coalesce("matched_symbol", F.lit(UNCATEGORIZED)))
-    )
+        matched = reports.withColumn("_best", F.get(hits, F.lit(0))).join(info, "_best", "left").drop("_best")
+    return matched.withColumn("matched_symbol", F.coalesce("matched_symbol", F.lit(UNCATEGORIZED)))
 
 
 def symbol_summary(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import ITERATIVE_STORAGE
+from narrascope.functions.sizing import as_list, materialize
 from narrascope.operators.sampling import top_k_per_group
 from narrascope.operators.stats import drop_null_text, with_percent
 
@@ -40,12 +41,16 @@ def _terms(text_col: str, mode: str, stop_words: Sequence[str]) -> Column:
 
 
 def bag_of_words(
-    reports: DataFrame, key: str, text_col: str, mode: str = "word", stop_words: Sequence[str] = ()
+    reports: DataFrame,
+    key: str | Sequence[str],
+    text_col: str,
+    mode: str = "word",
+    stop_words: Sequence[str] = (),
 ) -> DataFrame:
     """(key, term, cnt), counted inside each row: no shuffle."""
     rows = drop_null_text(reports, text_col)
-    counted = rows.select(key, F.inline(tx.bag(_terms(text_col, mode, stop_words))))
-    return counted.select(key, "term", "cnt")
+    counted = rows.select(*as_list(key), F.inline(tx.bag(_terms(text_col, mode, stop_words))))
+    return counted.select(*as_list(key), "term", "cnt")
 
 
 def term_stats(
@@ -197,19 +202,20 @@ def topics_fit(
     text_col: str,
     k: int = 100,
     seed: int = 42,
-    max_iter: int = 20,
+    max_iter: int = 10,
     mode: str = "alpha3",
     stop_words: Sequence[str] | None = None,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_terms: int = MAX_TERMS,
-    batch_reports: int = 4_096,
+    sampling_rate: float = 1.0,
 ) -> TopicModel:
-    """Learn the vocabulary and fit the topics.
+    """Learn the vocabulary and fit the topics on every report.
 
-    Every iteration sees about `batch_reports` reports or a thousandth of the corpus, whichever is
-    more; a smaller corpus is used whole. Only the vocabulary (at most `max_terms` words) and the
-    topic matrix reach the driver.
+    The corpus is passed `max_iter` times. With a `sampling_rate` below one an iteration sees that
+    share of it, and there are as many more iterations, so the number of passes stays the same at any
+    size. Features are written once and read by every iteration. Only the vocabulary (at most
+    `max_terms` words) and the topic matrix reach the driver.
     """
     stop = tuple(default_stop_words() if stop_words is None else stop_words)
     rows = drop_null_text(reports, text_col)
@@ -222,20 +228,16 @@ def topics_fit(
         list(terms), inputCol="_words", outputCol="features"
     )
     model = TopicModel(None, terms, counter, mode, stop)
-    features = model.features(rows.select(text_col), text_col).select("features")
-    features = features.persist(ITERATIVE_STORAGE)
-    try:
-        lda = LDA(
-            k=k,
-            seed=seed,
-            maxIter=max_iter,
-            optimizer="online",
-            subsamplingRate=min(1.0, max(0.001, batch_reports / max(n, 1))),
-            learningOffset=10.0,
-            learningDecay=0.7,
-            optimizeDocConcentration=False,
-            featuresCol="features",
-        ).fit(features)
-    finally:
-        features.unpersist()
+    features = materialize(model.features(rows.select(text_col), text_col).select("features"), "topic-features")
+    lda = LDA(
+        k=k,
+        seed=seed,
+        maxIter=math.ceil(max_iter / sampling_rate),
+        optimizer="online",
+        subsamplingRate=sampling_rate,
+        learningOffset=10.0,
+        learningDecay=0.7,
+        optimizeDocConcentration=False,
+        featuresCol="features",
+    ).fit(features)
     return TopicModel(lda, terms, counter, mode, stop)

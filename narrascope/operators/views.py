@@ -12,7 +12,7 @@ from narrascope.operators.sampling import seeded_hash, top_k_per_group
 def _finite(*columns: str) -> Column:
     ok = F.lit(True)
     for c in columns:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     return ok
 
 
@@ -50,10 +50,7 @@ def annotated_points(
     df: DataFrame, key: str, x: str, y: str, text_col: str, n: int = 50, step: int = 5
 ) -> DataFrame:
     """Every `step`-th of the first n points with a 20-character label."""
-    first = df.select(key, x, y, text_col).orderBy(key).limit(n)
+    points = df.select(key, x, y, tx.snippet(text_col, 20).alias("annotation"))
+    first = points.orderBy(key).limit(n)
     pos = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key))
-    return (
-        first.withColumn("_pos", pos)
-        .where((F.col("_pos") - 1) % step == 0)
-        .select(key, x, y, tx.snippet(text_col, 20).alias("annotation"))
-    )
+    return first.withColumn("_pos", pos).where((F.col("_pos") - 1) % step == 0).drop("_pos")

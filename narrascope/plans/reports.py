@@ -79,15 +79,15 @@ def emotion_report(
 ) -> EmotionReport:
     """Scores, label distribution, emotion per topic (when topics are known) and extremes.
 
-    The narrow score table feeds all results, so it is written once. `facts` puts the scores back
-    on the full reports; it is the only result that shuffles their texts, and only when used.
+    The narrow score table feeds the summaries, so it is written once. `facts` scores the full reports
+    where they are read, so their texts are never joined or shuffled.
     """
     text_col = text_col or resolve_text_col(reports)
     topic_cols = [c for c in ("topic_id", "topic_keywords") if c in reports.columns]
     scored = emotion.hybrid_score(reports, lexicon, key, text_col, neg, pos, keep=topic_cols)
     if store:
         scored = materialize(scored, "emotion")
-    facts = reports.join(scored.select(key, "sentiment_score", "sentiment_label"), key)
+    facts = emotion.emotion_facts(reports, lexicon, text_col, neg, pos)
     return EmotionReport(
         scored,
         facts,

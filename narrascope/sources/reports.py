@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrascope.functions.sizing import small_table
+from narrascope.functions.sizing import materialize, small_table
 from narrascope.operators.stats import union_by_name
 
 SOURCE_COLUMN = "source_filename"
@@ -75,8 +75,8 @@ def column_names(header: Sequence[str]) -> list[str]:
     return names
 
 
-def _first_line(path: str) -> str:
-    """The header line, read with at most one small request."""
+def _first_line(path: str, whole: bool = False) -> str:
+    """The header line, read with at most one small request; `whole` reads the rest too and drops it."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
@@ -92,15 +92,17 @@ def _first_line(path: str) -> str:
             if not chunk:
                 break
             line += chunk
+        while whole and stream.read(_HEADER_BYTES * 256):
+            pass
     return line.split(b"\n")[0].decode("utf-8-sig").rstrip("\r")
 
 
-def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _peek(batches: Iterator[pd.DataFrame], whole: bool = False) -> Iterator[pd.DataFrame]:
     for files in batches:
         lines, errors = [], []
         for path in files["path"]:
             try:
-                line = _first_line(path)
+                line = _first_line(path, whole)
                 lines.append(line or None)
                 errors.append(None if line else "empty file")
             except Exception as e:  # one bad file must not stop the others
@@ -109,13 +111,18 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield files.assign(header=lines, error=errors)
 
 
-def read_headers(spark: SparkSession, folder: str, glob: str = "*.tsv") -> DataFrame:
-    """(path, file_name, header, error): the tasks open each file once and read its first line."""
+def read_headers(spark: SparkSession, folder: str, glob: str = "*.tsv", whole: bool = False) -> DataFrame:
+    """(path, file_name, header, error): the tasks open each file once and read its first line.
+
+    With `whole` they read on to the end, so that a damaged file shows.
+    """
     files = list_files(spark, folder, glob)
-    files = files.repartition(spark.sparkContext.defaultParallelism)
-    return files.mapInPandas(
-        _peek, "path string, file_name string, header string, error string"
-    )
+    files = files.repartition(spark.sparkContext.defaultParallelism, "path")
+
+    def peek(batches):
+        yield from _peek(batches, whole)
+
+    return files.mapInPandas(peek, "path string, file_name string, header string, error string")
 
 
 def _field_count(raw: Column, sep: str) -> Column:
@@ -132,11 +139,12 @@ def read_delimited(
     multi_line: bool = True,
     with_source: bool = False,
     missing: Sequence[str] = MISSING_TEXTS,
+    skip_bad: bool = False,
 ) -> DataFrame:
     """Files with one common header as all-string columns.
 
-    Records with too many fields are skipped, short ones are padded with null, missing-value texts
-    become null. `multi_line=False` lets big files be split into many tasks; use it where texts hold
+    A record with too many fields is an error, or left out with `skip_bad`; a damaged file is always an
+    error. Short records are padded with null, missing-value texts become null. `multi_line=False` lets big files be split into many tasks; use it where texts hold
     no line breaks, because a file with quoted line breaks can only be read by one task.
     """
     fields = [T.StructField(c, T.StringType()) for c in columns]
@@ -151,16 +159,18 @@ def read_delimited(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("columnPruning", False)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     raw = F.col(_CORRUPT)
     # The reader refuses queries that need the raw record alone (a count), so the filter also looks
     # at the first column.
     first = F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))
-    kept = df.where(
-        (F.octet_length(first) >= 0) & (raw.isNull() | (_field_count(raw, sep) <= len(columns)))
-    )
+    fits = raw.isNull() | (_field_count(raw, sep) <= len(columns))
+    if not skip_bad:
+        message = F.concat(F.lit("more fields than columns: "), F.substring(raw, 1, 200))
+        fits = F.when(fits, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    kept = df.where((F.octet_length(first) >= 0) & fits)
     out = [
         F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in columns
     ]
@@ -174,14 +184,14 @@ def _header_columns(line: str, sep: str) -> list[str]:
 
 
 def read_reports(
-    spark: SparkSession, folder: str, dataset: str, multi_line: bool = True
+    spark: SparkSession, folder: str, dataset: str, multi_line: bool = True, skip_bad: bool = False
 ) -> DataFrame:
-    """One dataset: `<folder>/<dataset>.tsv`, all columns string."""
+    """One dataset: `<folder>/<dataset>.tsv`, all columns string; see `read_delimited` for `skip_bad`."""
     header = read_headers(spark, folder, f"{dataset}.tsv").first()
     if header is None or header["header"] is None:
         raise ValueError(f"dataset {dataset!r}: {header['error'] if header else 'no such file'}")
     return read_delimited(
-        spark, header["path"], _header_columns(header["header"], "\t"), multi_line=multi_line
+        spark, header["path"], _header_columns(header["header"], "\t"), multi_line=multi_line, skip_bad=skip_bad
     )
 
 
@@ -197,32 +207,40 @@ def read_info(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_reports(
-    spark: SparkSession, folder: str, glob: str = "*.tsv", multi_line: bool = True
+    spark: SparkSession,
+    folder: str,
+    glob: str = "*.tsv",
+    multi_line: bool = True,
+    skip_failed: bool = False,
+    sep: str = "\t",
 ) -> tuple[DataFrame, DataFrame]:
     """All files of a folder as one table with `source_filename`, and the table of unreadable files.
 
-    Files are grouped by their header line, because a reader with one schema binds columns by
-    position; the groups are then united by column name.
+    Every file is read to its end once before; one that cannot be (damaged, empty) is an error, or
+    left out as a whole and listed with `skip_failed`. Records with too many fields are left out. Files
+    are grouped by their header line, because a reader with one schema binds columns by position; the
+    groups are then united by column name. A report is named by `dataset_id` and its number.
     """
-    headers = read_headers(spark, folder, glob).persist()
+    headers = materialize(read_headers(spark, folder, glob, whole=True), "headers")
     groups: dict[str, list[str]] = {}
-    for r in headers.where("header IS NOT NULL").select("path", "header").toLocalIterator():
+    for r in headers.where("error IS NULL").select("path", "header").toLocalIterator():
         groups.setdefault(r["header"], []).append(r["path"])
-    failed = small_table(
-        spark,
-        [(r["file_name"], r["error"]) for r in headers.where("error IS NOT NULL").collect()],
-        "file_name string, error string",
-    )
-    headers.unpersist()
+    bad = [(r["file_name"], r["error"]) for r in headers.where("error IS NOT NULL").collect()]
+    if bad and not skip_failed:
+        raise ValueError(f"{len(bad)} files cannot be read, first {bad[0][0]}: {bad[0][1]}")
+    failed = small_table(spark, bad, "file_name string, error string")
     if not groups:
         raise ValueError(f"no readable {glob} file in {folder}")
     parts = [
         read_delimited(
-            spark, paths, _header_columns(line, "\t"), multi_line=multi_line, with_source=True
+            spark, paths, _header_columns(line, sep), sep=sep, multi_line=multi_line, with_source=True, skip_bad=True
         )
         for line, paths in sorted(groups.items())
     ]
-    return union_by_name(*parts), failed
+    corpus = union_by_name(*parts)
+    if "dataset_id" not in corpus.columns:
+        corpus = corpus.withColumn("dataset_id", dataset_id(F.col(SOURCE_COLUMN)))
+    return corpus, failed
 
 
 def load_report(corpus: DataFrame, files: DataFrame, failed: DataFrame) -> DataFrame:

@@ -84,3 +84,18 @@ def test_empty_corpus(scored_inputs):
     scored = emotion.hybrid_score(reports.limit(0), lexicon, "id", "dream")
     rows = emotion.sentiment_distribution(scored).collect()
     assert [r["n"] for r in rows] == [0] * 5 and [r["percent"] for r in rows] == [0.0] * 5
+
+
+def test_rows_are_scored_one_by_one(spark):
+    words = spark.createDataFrame([("good", 2.0), ("Good", 4.0), ("bad", -1.0), (None, 1.0)], "word string, valence double")
+    rows = [(1, "good"), (1, "good"), (None, "bad bad"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    scored = emotion.hybrid_score(df, words, ["k"], "t")
+    assert sorted(r["valence_sum"] for r in scored.collect()) == [-2.0, 0.0, 3.0, 3.0]
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_label_without_a_score(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.3,)], "s double")
+    got = [r[0] for r in df.select(emotion.sentiment_label("s")).collect()]
+    assert got == [None, None, emotion.BLISSFUL]

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -42,7 +43,7 @@ def test_dataset_ids(spark, folder):
 
 
 def test_one_dataset(spark, folder):
-    df = src.read_reports(spark, folder, "alta")
+    df = src.read_reports(spark, folder, "alta", skip_bad=True)
     assert df.columns == ["n", "dream"] and {f.dataType.simpleString() for f in df.schema} == {"string"}
     got = {r["n"]: r["dream"] for r in df.collect()}
     assert got == {
@@ -60,7 +61,7 @@ def test_one_dataset(spark, folder):
 
 
 def test_column_pruning_does_not_change_rows(spark, folder):
-    df = src.read_reports(spark, folder, "alta")
+    df = src.read_reports(spark, folder, "alta", skip_bad=True)
     assert df.count() == 5 and df.select("n").count() == 5
     assert {r["n"] for r in df.select("n").collect()} == {"1", "2", "4", "5", "6"}
 
@@ -72,8 +73,8 @@ def test_info(spark, folder):
 
 
 def test_scan_folder(spark, folder):
-    corpus, failed = src.scan_reports(spark, folder)
-    assert set(corpus.columns) == {"n", "age", "dream", "source_filename"}
+    corpus, failed = src.scan_reports(spark, folder, skip_failed=True)
+    assert set(corpus.columns) == {"n", "age", "dream", "source_filename", "dataset_id"}
     rows = {(r["source_filename"], r["n"]): r for r in corpus.collect()}
     assert len(rows) == 9
     assert rows[("cid.v2.tsv", "7")]["dream"] == "swapped"
@@ -90,7 +91,7 @@ def test_scan_folder(spark, folder):
         "odd.tsv": 0,
     }
     assert report["odd.tsv"]["error"] and report["alta.tsv"]["error"] is None
-    total = source_counts(corpus, "source_filename").where("source_filename IS NULL").first()
+    total = source_counts(corpus, "source_filename").where("is_total").first()
     assert total["n"] == 9
 
 
@@ -99,7 +100,7 @@ def test_repeated_and_empty_header_names():
 
 
 def test_corpus_round_trip(spark, folder, tmp_path):
-    corpus, _ = src.scan_reports(spark, folder)
+    corpus, _ = src.scan_reports(spark, folder, skip_failed=True)
     want = {tuple(r) for r in corpus.collect()}
     for fmt in ("parquet", "csv"):
         path = str(tmp_path / f"corpus-{fmt}")
@@ -115,7 +116,7 @@ def test_single_line_mode_splits_rows(spark, tmp_path):
     d = tmp_path / "flat"
     d.mkdir()
     (d / "a.tsv").write_text("n\tdream\n1\tx\n2\ty\tz\n3\n", encoding="utf-8")
-    rows = src.read_reports(spark, str(d), "a", multi_line=False).collect()
+    rows = src.read_reports(spark, str(d), "a", multi_line=False, skip_bad=True).collect()
     assert {(r["n"], r["dream"]) for r in rows} == {("1", "x"), ("3", None)}
 
 
@@ -169,3 +170,19 @@ def test_materialize_uses_the_shared_folder(spark):
     assert named is None or folder == named.rstrip("/")
     df = materialize(spark.range(5), "numbers")
     assert df.count() == 5 and df.inputFiles()[0].split(":")[-1].lstrip("/").startswith(folder.lstrip("/"))
+
+
+def test_nothing_is_lost_without_a_word(spark, tmp_path):
+    d = tmp_path / "damaged"
+    d.mkdir()
+    (d / "long.tsv").write_text("n\tdream\n1\tx\n2\ty\tz\n", encoding="utf-8")
+    with pytest.raises(Exception, match="more fields than columns"):
+        src.read_reports(spark, str(d), "long").collect()
+    text = "".join(f"{i}\tdream {i * 7919}\n" for i in range(50_000))
+    whole = gzip.compress(("n\tdream\n" + text).encode())
+    (d / "good.tsv.gz").write_bytes(whole)
+    (d / "cut.tsv.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(ValueError, match="cut.tsv.gz"):
+        src.scan_reports(spark, str(d), "*.tsv.gz")
+    corpus, failed = src.scan_reports(spark, str(d), "*.tsv.gz", skip_failed=True)
+    assert corpus.count() == 50_000 and [r["file_name"] for r in failed.collect()] == ["cut.tsv.gz"]

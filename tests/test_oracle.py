@@ -68,7 +68,6 @@ def test_partitions_do_not_matter(spark, duck, sf_dir, monkeypatch, name, parts)
         return plain_table(session, folder, table).orderBy(F.rand(parts)).repartition(parts)
 
     monkeypatch.setattr(queries, "table", shuffled)
-    monkeypatch.setattr(queries, "spread", lambda df: df)
     df = QUERIES[name](spark, sf_dir)
     found = duck.execute(ORACLE[name])
     columns = [c[0] for c in found.description]

@@ -59,9 +59,15 @@ def test_median_ignores_nan_and_null(spark):
 
 
 def test_source_counts_has_total(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",)], "source string")
-    got = {(r["source"], r["n"]) for r in stats.source_counts(df, "source").collect()}
-    assert got == {("a", 2), ("b", 1), (None, 3)}
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "source string")
+    got = {(r["source"], r["n"], r["is_total"]) for r in stats.source_counts(df, "source").collect()}
+    assert got == {("a", 2, False), ("b", 1, False), (None, 1, False), (None, 4, True)}
+
+
+def test_values_without_a_number_have_no_side(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),)], "v double")
+    got = {(r["v"] if r["v"] == r["v"] else "nan"): r["split_label"] for r in stats.median_split(df, "v").collect()}
+    assert got == {1.0: stats.LOW_LABEL, 3.0: stats.HIGH_LABEL, None: None, "nan": None}
 
 
 def test_min_size(spark):

@@ -106,3 +106,21 @@ def test_empty_dictionary(tables):
 
 def test_parameters_cover_all_cases():
     assert len({s.strip().lower() for _, s in P.DICTIONARY}) < len(P.DICTIONARY)
+
+
+@pytest.mark.parametrize("max_literal", [0, 5_000])
+def test_rows_that_share_a_key_or_have_none(spark, max_literal):
+    words = spark.createDataFrame([(1, "river", "m1"), (2, "dark forest", "m2")], "ord long, symbol string, meaning string")
+    index = symbols.SymbolIndex.build(words, max_literal=max_literal)
+    rows = [(1, "a river"), (1, "the dark forest river"), (None, "a river"), (2, "nothing")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = [(r["k"], r["t"], r["matched_symbol"], r["interpretation"]) for r in symbols.symbol_match(df, index, "k", "t").collect()]
+    assert sorted(got, key=repr) == sorted(
+        [
+            (1, "a river", "river", "m1"), (1, "the dark forest river", "dark forest", "m2"),
+            (None, "a river", "river", "m1"), (2, "nothing", symbols.UNCATEGORIZED, None),
+        ],
+        key=repr,
+    )
+    counts = sorted((tuple(r) for r in symbols.symbol_counts(df, index, "k", "t").collect()), key=repr)
+    assert counts == sorted([(1, "river", 1), (1, "dark forest", 1), (1, "river", 1), (None, "river", 1)], key=repr)

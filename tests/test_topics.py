@@ -94,3 +94,17 @@ def test_term_counts_do_not_shuffle(spark, sf_dir):
     assert "Exchange" not in plan
     stats_plan = topics.term_stats(docs, "text")._jdf.queryExecution().executedPlan().toString()
     assert stats_plan.count("Exchange") == 1
+
+
+def test_the_fit_sees_every_report(spark):
+    """A topic in one report of twenty is found in a large corpus, and no iteration samples."""
+    df = spark.range(100_000).selectExpr(
+        "case when id % 20 = 7 then 'harbour anchor sailor harbour anchor sailor harbour anchor sailor' "
+        "when id % 2 = 0 then 'meadow flower garden meadow' else 'engine motor piston engine' end t"
+    )
+    model = topics.topics_fit(df, "t", k=3, max_iter=30, min_df=1, max_df=0.95)
+    tops = [set() for _ in range(3)]
+    for r in model.top_words(3).collect():
+        tops[r["topic_id"] - 1].add(r["term"])
+    assert {"harbour", "anchor", "sailor"} in tops
+    assert model.lda.getSubsamplingRate() == 1.0
