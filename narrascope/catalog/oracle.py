@@ -243,6 +243,15 @@ def all_sql() -> dict[str, str]:
         "lexicon_score": f"WITH {VALENCE} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score FROM base",
         "hybrid_score": f"""WITH {SCORED} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score, neg_hits, pos_hits,
             round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label FROM scored""",
+        "load_report": """SELECT CASE WHEN source = 'src0' THEN 'first' ELSE 'others' END AS folder, count(*) AS n_rows,
+            0::BIGINT AS n_errors FROM documents GROUP BY 1""",
+        "info_files": "SELECT source AS short_name, count(*) AS n_dreams FROM documents GROUP BY source",
+        "symbol_tables": f"""WITH {SYMBOL_SUMMARY} SELECT matched_symbol, interpretation, dreams_count, dreamers_count, total_words,
+            total_words AS words_in_facts FROM summary""",
+        "scored_table": f"""WITH {SCORED} SELECT doc_id, round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label
+            FROM scored""",
+        "axis_export_file": f"""WITH {EXTREMES} SELECT axis_id, pole,
+            row_number() OVER (PARTITION BY axis_id, pole ORDER BY rank)::INT AS rank, vec_id, text FROM ext""",
         "two_datasets": f"""WITH {SCORED} SELECT d.dataset_id, doc_id, round(sentiment_score, 4) + 0e0 AS sentiment_score,
             sentiment_label FROM scored, (VALUES ('a'), ('b')) d(dataset_id)""",
         "lda_checks": """SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_bad_sums, 0::BIGINT AS n_bad_topics,

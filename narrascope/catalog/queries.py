@@ -17,8 +17,12 @@ from narrascope.operators import clusters, emotion, extremes, pca, stats, symbol
 from narrascope.operators.embedding import embed, feature_hash_embed
 from narrascope.operators.sampling import sample_n
 from narrascope.plans.reports import emotion_report, semantic_map
-from narrascope.sinks.tables import write_by_quadrant, write_corpus
-from narrascope.sources.reports import distinct_ids, read_corpus, read_quadrant, scan_reports
+from narrascope.sinks.tables import (
+    SYMBOL_SUMMARY_COLUMNS, write_axis_export, write_by_quadrant, write_corpus, write_facts_and_summary, write_scored,
+)
+from narrascope.sources.reports import (
+    distinct_ids, list_files, load_report, read_corpus, read_info, read_quadrant, scan_reports,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY, TEXT = "doc_id", "text"
@@ -315,6 +319,71 @@ def annotated_points(spark, sf_dir):
     return views.annotated_points(p, "vec_id", "x", "y", TEXT)
 
 
+@query
+def load_report_query(spark, sf_dir):
+    """Rows of every file of a written folder, and the error of those that could not be read."""
+    d = documents(spark, sf_dir, KEY, "source", TEXT).withColumnRenamed(TEXT, "dream")
+    folder = scratch_path(spark, "load")
+    write_corpus(d.where(F.col("source") != "src0"), f"{folder}/others", "tsv")
+    write_corpus(d.where(F.col("source") == "src0"), f"{folder}/first", "tsv")
+    found = []
+    for name in ("others", "first"):
+        corpus, failed = scan_reports(spark, f"{folder}/{name}", "*.csv", skip_failed=True)
+        report = load_report(corpus, list_files(spark, f"{folder}/{name}", "*.csv"), failed)
+        found.append(report.agg(F.sum("n_rows").alias("n_rows"), F.count("error").alias("n_errors")).withColumn("folder", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
+@query
+def info_files(spark, sf_dir):
+    """Metadata of every source as JSON files, read back."""
+    folder = scratch_path(spark, "info")
+    n = documents(spark, sf_dir, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_dreams"))
+    n.select(F.col("source").alias("short_name"), "n_dreams").write.option("ignoreNullFields", False).json(folder)
+    return read_info(spark, folder, multi_line=False).select("short_name", "n_dreams")
+
+
+@query
+def symbol_tables(spark, sf_dir):
+    """Facts and summary of the symbols under their published names, read back and counted."""
+    d = documents(spark, sf_dir, KEY, TEXT, "source")
+    index = symbols.SymbolIndex.build(dictionary(spark))
+    matched = symbols.symbol_match(d, index, KEY, TEXT)
+    path = scratch_path(spark, "symbols")
+    write_facts_and_summary(matched, symbols.symbol_summary(matched, index, "source"), path, SYMBOL_SUMMARY_COLUMNS)
+    facts = spark.read.parquet(f"{path}/facts").groupBy("matched_symbol").agg(F.sum("word_count").alias("words_in_facts"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/summary")
+    return back.select(
+        F.col("Symbol").alias("matched_symbol"),
+        F.col("Interpretation").alias("interpretation"),
+        F.col("how many dreams").cast("long").alias("dreams_count"),
+        F.col("how many dreamers").cast("long").alias("dreamers_count"),
+        F.col("how many words").cast("long").alias("total_words"),
+    ).join(facts, "matched_symbol")
+
+
+@query
+def scored_table(spark, sf_dir):
+    """Scored reports, written and read back."""
+    path = scratch_path(spark, "scored")
+    write_scored(scored(spark, sf_dir), path)
+    return spark.read.parquet(path).select(KEY, F.round("sentiment_score", 4).alias("sentiment_score"), "sentiment_label")
+
+
+@query
+def axis_export_file(spark, sf_dir):
+    """The nested JSON export of the axes, read back as one row per dream."""
+    found = axes_extremes(spark, sf_dir)
+    path = scratch_path(spark, "axes")
+    write_axis_export(extremes.axis_export(found, "vec_id", [1.0 / P.N_AXES] * P.N_AXES, 0, "given"), path)
+    axis = spark.read.json(path).select(F.explode("axes").alias("a"))
+    poles = [axis.select("a.axis_id", F.lit(p).alias("pole"), F.posexplode(f"a.{p}_pole.dreams").alias("rank", "d")) for p in ("positive", "negative")]
+    rows = poles[0].union(poles[1])
+    return rows.select(
+        F.col("axis_id").cast("int"), "pole", (F.col("rank") + 1).alias("rank"), F.col("d.id").alias("vec_id"), F.col("d.text").alias("text")
+    )
+
+
 # ---------------------------------------------------------------- symbols
 
 

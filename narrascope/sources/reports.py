@@ -195,11 +195,11 @@ def read_reports(
     )
 
 
-def read_info(spark: SparkSession, folder: str) -> DataFrame:
-    """One row of metadata per `<dataset>.json`."""
+def read_info(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """One row of metadata per `<dataset>.json`, or per line without `multi_line`."""
     return (
         spark.read.schema(INFO_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("pathGlobFilter", "*.json")
         .json(folder)
         .select("*", dataset_id(_scanned_file()).alias("dataset_id"))
