@@ -89,8 +89,8 @@ summary AS (SELECT matched_symbol, count(*) AS dreams_count, sum(word_count)::BI
   round(count(*) * 100e0 / (SELECT count(*) FROM documents), 4) AS percent,
   CASE WHEN matched_symbol = 'Uncategorized' THEN 'No match found' ELSE max(interpretation) END AS interpretation
   FROM matched GROUP BY matched_symbol)"""
-DERIVED = f"""raw AS (SELECT doc_id AS ord, array_to_string(string_split(text, ' ')[1:2], ' ') AS symbol, source AS meaning
-  FROM documents),
+DERIVED = f"""raw AS (SELECT doc_id * 1000000 + i AS ord, lines[i + 1] AS symbol, source AS meaning
+  FROM (SELECT *, unnest(range(len(lines))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))),
 cleaned AS (SELECT *, {CLEAN.format('symbol')} AS clean FROM raw)"""
 DEDUPED = f"""{DERIVED},
 deduped AS (SELECT clean, ord, symbol, meaning,
@@ -338,12 +338,15 @@ def all_sql() -> dict[str, str]:
               avg(hit) FILTER (condition = 'with_labels') * 100e0 AS w, avg(hit) FILTER (condition = 'no_labels') * 100e0 AS n
               FROM g GROUP BY responder)
             SELECT responder, round(w, 4) AS with_labels, round(n, 4) AS no_labels, round(w - n, 1) + 0e0 AS boost FROM b""",
-        "vs_human": f"""WITH {ANSWERS}, x AS (SELECT responder, axis, avg(hit) * 100e0 AS accuracy FROM g
-              WHERE condition = 'with_labels' GROUP BY responder, axis),
-            d AS (SELECT m.responder, m.axis, m.accuracy, h.accuracy AS human, round(m.accuracy - h.accuracy, 0) + 0e0 AS diff
-              FROM x m JOIN x h ON h.axis = m.axis AND h.responder = {q(P.HUMAN)} WHERE m.responder <> {q(P.HUMAN)})
-            SELECT axis, responder, round(accuracy, 4) AS accuracy, round(human, 4) AS human_accuracy, diff,
+        "vs_human": f"""WITH {ANSWERS}, x AS (SELECT responder, condition, axis, avg(hit) * 100e0 AS accuracy FROM g
+              GROUP BY responder, condition, axis),
+            d AS (SELECT m.responder, m.condition, m.axis, m.accuracy, h.accuracy AS human, round(m.accuracy - h.accuracy, 0) + 0e0 AS diff
+              FROM x m LEFT JOIN x h ON h.axis = m.axis AND h.condition = m.condition AND h.responder = {q(P.HUMAN)}
+              WHERE m.responder <> {q(P.HUMAN)})
+            SELECT condition, axis, responder, round(accuracy, 4) AS accuracy, round(human, 4) AS human_accuracy, diff,
             diff > 0 AS beats_human FROM d""",
+        "published_accuracy": f"""WITH {ACCURACY} SELECT responder, condition, axis, round(accuracy, 4) AS percent,
+            CASE WHEN responder = {q(P.HUMAN)} THEN 'human' ELSE 'model' END AS responder_type FROM acc""",
         "panel_accuracy": f"""WITH {ANSWERS}, r AS (SELECT avg(hit) AS share, count(*) AS n FROM g GROUP BY axis, correct)
             SELECT count(*) AS n_rounds, sum(n)::BIGINT AS n_answers, round(avg(share) * 100e0, 0) AS panel_percent FROM r""",
         "responder_scores": f"""WITH {ANSWERS}, r AS (SELECT responder, count(*) FILTER (is_correct) AS score,

@@ -77,12 +77,11 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 
 def derived_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary that grows with the data: the first two words of every document."""
+    """A dictionary that grows with the data: every line of every document."""
     d = documents(spark, sf_dir, KEY, TEXT, "source")
-    return d.select(
-        F.col(KEY).alias("ord"),
-        F.substring_index(TEXT, " ", 2).alias("symbol"),
-        F.col("source").alias("meaning"),
+    lines = d.select(KEY, "source", F.posexplode(F.split(TEXT, "\n")).alias("pos", "symbol"))
+    return lines.select(
+        (F.col(KEY) * 1_000_000 + F.col("pos")).alias("ord"), "symbol", F.col("source").alias("meaning")
     )
 
 
@@ -820,6 +819,15 @@ def label_boost(spark, sf_dir):
     return boost.withColumns({**r4("with_labels"), **r4("no_labels")})
 
 
+@query
+def published_accuracy(spark, sf_dir):
+    """Accuracy nested as it is published, per responder and type, and taken apart again."""
+    facts = an.accuracy(graded(spark, sf_dir)).withColumn("responder_type", F.when(F.col("responder") == P.HUMAN, "human").otherwise("model"))
+    axes = facts.groupBy("responder", "responder_type", "condition").agg(F.map_from_entries(F.collect_list(F.struct("axis", "accuracy"))).alias("a"))
+    nested = axes.groupBy("responder", "responder_type").agg(F.map_from_entries(F.collect_list(F.struct("condition", "a"))).alias("results"))
+    return an.published_accuracy(nested).withColumns(r4("percent"))
+
+
 @query
 def vs_human(spark, sf_dir):
     gap = an.vs_human(graded(spark, sf_dir), P.HUMAN)

@@ -98,19 +98,27 @@ def label_boost(graded: DataFrame) -> DataFrame:
     )
 
 
-def vs_human(graded: DataFrame, human: str, condition: str = WITH_LABELS) -> DataFrame:
-    """Accuracy of every other responder against the human row of the same axis, in whole points."""
-    per_axis = (
-        graded.where(F.col("condition") == condition)
-        .groupBy("responder", "axis")
-        .agg(percent_correct().alias("accuracy"))
-    )
+def published_accuracy(
+    published: DataFrame, responder: str = "responder", kind: str = "responder_type", nested: str = "results"
+) -> DataFrame:
+    """(responder, type, condition, axis, percent) from percents published as map(condition -> map(axis -> percent))."""
+    by_condition = published.select(responder, kind, F.explode(nested).alias("condition", "_axes"))
+    return by_condition.select(responder, kind, "condition", F.explode("_axes").alias("axis", "percent"))
+
+
+def vs_human(graded: DataFrame, human: str, condition: str | None = None) -> DataFrame:
+    """Accuracy of every other responder against the human one of the same condition and axis, in whole points.
+
+    All conditions, or one. Without a human answer on an axis the comparison is null.
+    """
+    chosen = graded if condition is None else graded.where(F.col("condition") == condition)
+    per_axis = chosen.groupBy("responder", "condition", "axis").agg(percent_correct().alias("accuracy"))
     people = per_axis.where(F.col("responder") == human).select(
-        "axis", F.col("accuracy").alias("human_accuracy")
+        "condition", "axis", F.col("accuracy").alias("human_accuracy")
     )
     return (
         per_axis.where(F.col("responder") != human)
-        .join(people, "axis")
+        .join(people, ["condition", "axis"], "left")
         .withColumn("diff", F.round(F.col("accuracy") - F.col("human_accuracy"), 0))
         .withColumn("beats_human", F.col("diff") > 0)
     )

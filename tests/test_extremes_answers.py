@@ -103,7 +103,7 @@ def test_boost(graded):
 
 
 def test_vs_human(graded):
-    gap = {(r["responder"], r["axis"]): r for r in answers.vs_human(graded, "people").collect()}
+    gap = {(r["responder"], r["axis"]): r for r in answers.vs_human(graded, "people", answers.WITH_LABELS).collect()}
     assert gap[("a", "PC1")]["diff"] == 19.0 and gap[("a", "PC1")]["beats_human"]
     assert gap[("c", "PC5")]["diff"] == -62.0 and not gap[("c", "PC5")]["beats_human"]
     assert len(gap) == 15
