@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.common import HASHES, hashed, signed, steps, stored, texts, utf8
+from narrascope.llm.importance import kth_largest
 
 HEAD, ASSIGNED, EXCHANGE, CLASSES, SWEEPS = 262_144, 16_384, 2_048, 64, 4
 BANDS = 16
@@ -210,7 +211,10 @@ def train(docs: DataFrame, counts: DataFrame, *, head: int, assigned: int, swapp
     """Fit the model on the training documents of (doc_id, text) with their word counts."""
     n_tokens, n_words = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("n")).first())
     # Words seen once stand for the unseen ones: they keep the shared class of rare words.
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(head).toPandas()
+    # The head ends before the count that would exceed its size; the count is found without sorting.
+    common = counts.where("n > 1")
+    least = kth_largest(common.select(F.col("n").cast("double").alias("key")), head)
+    top = common.where(F.col("n") > F.lit(least)).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     known = Head(top["word"].to_numpy(np.int64).view(np.uint64)[order], order.astype(np.int64), top["n"].to_numpy(np.int64))
     size = len(known.counts)

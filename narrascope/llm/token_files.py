@@ -202,13 +202,13 @@ def write(
             with system.open_output_stream(f"{folder}/{name}") as out:
                 out.write(made.to_bytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int64()), pa.array([name]), pa.array([len(columns[0])], pa.int64())],
-                ["bucket", "file", "n_keys"],
+                [pa.array([bucket], pa.int64()), pa.array([name]), pa.array([len(columns[0])], pa.int64()), pa.array([buckets], pa.int64())],
+                ["bucket", "file", "n_keys", "buckets"],
             )
 
     located = _with_bucket(entries, buckets).select("bucket", "key", "shard", "first", "length")
     located = located.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    located.mapInArrow(index, "bucket long, file string, n_keys long").write.parquet(f"{path}/buckets")
+    located.mapInArrow(index, "bucket long, file string, n_keys long, buckets long").write.parquet(f"{path}/buckets")
 
 
 def _with_bucket(keys: DataFrame, buckets: int) -> DataFrame:
@@ -257,11 +257,11 @@ def read(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataF
     """
     ship(spark)
     files = spark.read.parquet(f"{path}/buckets")
-    buckets = files.count()
     if keys is None:
         keys = spark.read.parquet(f"{path}/keys")
     else:
-        keys = _with_bucket(keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("long")), max(1, spark.read.parquet(f"{path}/keys").agg(F.max("bucket")).first()[0] or 0) + 1 if buckets else 1)
+        buckets = files.agg(F.max("buckets")).first()[0] or 1
+        keys = _with_bucket(keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("long")), buckets)
     asked = keys.join(broadcast_if_small(files.select("bucket", "file")), "bucket")
 
     def locate(batches):
