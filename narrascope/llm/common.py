@@ -62,14 +62,24 @@ def utf8(text: str | None) -> bytes:
 
 
 class WordHashes(dict):
-    """Hash of every word seen; forgets all of them at `limit` words, which only costs hashing again."""
+    """Hashes of words met early in a worker's life, which frequent words are.
 
-    limit = 1_000_000
+    At `limit` words later ones are hashed without being kept; after eight times as many of these
+    everything is forgotten, in case the texts have changed.
+    """
+
+    limit = 200_000
+    beyond = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.limit:
+            self[word] = value
+        else:
+            self.beyond += 1
+            if self.beyond > 8 * self.limit:
+                self.clear()
+                self.beyond = 0
         return value
 
 
