@@ -55,10 +55,11 @@ class Words(dict):
             found.byteswap()
         return found.tobytes()
 
-    def encoded(self, word: str) -> bytes:
+    def encoded(self, word: str, first: bool = False) -> bytes:
+        """Ids of a word with the space before it; none stands before a line break or the first word."""
         if word.isalpha() and word.isascii():
-            return self.ids(self.space + word)
-        pieces = _PIECES.findall(word if word[:1] == "\n" else " " + word)
+            return self.ids(word if first else self.space + word)
+        pieces = _PIECES.findall(word if first or word[:1] == "\n" else " " + word)
         return b"".join([self.ids(p.encode().decode("latin-1").translate(self.letters)) for p in pieces])
 
     def __missing__(self, word: str) -> bytes:
@@ -103,7 +104,8 @@ class Encoder:
 
     def encode_cut(self, text: str) -> bytes:
         words = text.replace("\n", " \n").split(" ")
-        return self.library(words[0]) + b"".join(map(self.known.__getitem__, words[1:]))
+        first = self.known.encoded(words[0], True) if words[0] else b""
+        return first + b"".join(map(self.known.__getitem__, words[1:]))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as bytes; none for null."""
