@@ -102,3 +102,31 @@ def test_transitions_and_emissions_sum_to_one(spark, make):
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     sums = np.bincount(model.head.classes, weights=10**model.emission)
     assert np.allclose(sums[sums > 0], 1)
+
+
+def test_moves_are_exchange_moves_out_of_the_last_class():
+    rng = np.random.default_rng(5)
+    bigrams = rng.integers(0, 6, (12, 12)) * rng.integers(0, 2, (12, 12))
+    own = np.array([0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3, 3])
+    joint = np.eye(4)[own].T @ bigrams @ np.eye(4)[own]
+    for w in (8, 9, 10, 11):
+        others = np.arange(12) != w
+        out = np.bincount(own[others], weights=bigrams[w, others], minlength=4)
+        into = np.bincount(own[others], weights=bigrams[others, w], minlength=4)
+
+        def likelihood(c, w=w):
+            hot = np.eye(4)[np.where(np.arange(12) == w, c, own)]
+            count = hot.T @ (bigrams.sum(0) + bigrams.sum(1)) / 2
+            return lm.xlogx(hot.T @ bigrams @ hot).sum() - 2 * lm.xlogx(count).sum()
+
+        best = lm.moves(joint, np.concatenate([out, into, [bigrams[w, w]]])[None], 3)[0]
+        assert best == np.argmax([likelihood(c) for c in range(3)])
+
+
+def test_every_word_seen_twice_gets_the_class_of_its_contexts(spark, make):
+    """Most words are beyond the clusters and half of them beyond the head, and the order is still seen."""
+    rows = sentences(700)
+    got = [r for r in lm.score(make(rows), classes=4, head=60, swapped=20).collect() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain > 0.2
+    same(lm.score(make(rows), classes=4, head=60, swapped=20).drop("score", "perplexity").collect(), brute(rows))
