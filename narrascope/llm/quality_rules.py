@@ -16,10 +16,12 @@ from narrascope.llm.common import hashed, ship, steps, stored, utf8, windows
 _SPACE = " \t\n\r\x0b\x0c"
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of good documents of a stratum that one rule may reject, and the chance that any cutoff breaks it.
+#: Share of good documents of a stratum that all rules together may reject, and the chance that any stratum breaks it.
 ALPHA, DELTA = 0.01, 0.05
-#: Strata with fewer good labelled documents are judged together.
+#: Strata with fewer good labelled documents get no cutoffs.
 MIN_GOOD = 1000
+#: One of so many good documents proposes cutoffs, the others certify them; steps from mild to the proposal.
+PROPOSE, STEPS = 4, 48
 #: Statistics on which a larger value is worse, with the cutoffs that are tried, from mild to strict.
 RATIOS = {
     "symbol_ratio": np.geomspace(8.0, 0.01, 48),
@@ -90,15 +92,10 @@ def binomial_tail(x: np.ndarray, n: int, p: float) -> np.ndarray:
 class Rules:
     """Certified cutoffs: (stratum, ratio) -> cutoff; a document is rejected above it."""
 
-    cutoffs: dict[tuple[str, str], float]
-    strata: frozenset[str]
-
-    def stratum(self, name: str | None) -> str:
-        return name if name in self.strata else "(other)"
+    cutoffs: dict[tuple[str | None, str], float]
 
     def rejects(self, stratum: str | None, ratios: Sequence[float]) -> bool:
-        own = self.stratum(stratum)
-        return any(r > self.cutoffs.get((own, k), math.inf) for k, r in zip(RATIOS, ratios, strict=True))
+        return any(r > self.cutoffs.get((stratum, k), math.inf) for k, r in zip(RATIOS, ratios, strict=True))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -136,53 +133,65 @@ def certify(
 ) -> Rules:
     """Cutoffs from all labelled documents that pass the base rule.
 
-    For each stratum and ratio the cutoffs are tested from mild to strict. The hypothesis "more than
-    `alpha` of the good documents are rejected" must fall at level `delta` / (strata x ratios) by the
-    exact binomial test; the first cutoff that does not pass ends the sequence, so the chance that any
-    chosen cutoff breaks its bound is at most `delta`. Among the certified cutoffs the one that rejects
-    most bad documents is taken, at equal counts the milder, and none if good ones outnumber the bad.
-    The driver only sees counts per stratum, ratio and cutoff.
+    Every stratum (a null one too) stands for itself. A quarter of its good documents, chosen by a hash,
+    and its bad ones propose a cutoff per ratio. The other good documents test the rules together, in
+    `STEPS` steps from mild to the proposal: "more than `alpha` of the good documents are rejected by any
+    rule" must fall at level `delta` / strata by the exact binomial test, and the first step that does not
+    pass ends the sequence. As the steps do not depend on the documents that test them, the chance that
+    any stratum breaks its bound is at most `delta`. Strata with too few good labels get no cutoffs.
+    The driver only sees counts per stratum, ratio and cutoff, and per stratum and step.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    steps_above = [
-        F.struct(
-            F.lit(k).alias("ratio"),
-            _above(k, cuts).alias("above"),
-        )
-        for k, cuts in RATIOS.items()
-    ]
-    counts = (
-        measured.where(~base)
-        .join(marks, "doc_id")
-        .select("stratum", "quality", F.explode(F.array(*steps_above)).alias("s"))
-        .groupBy(F.coalesce("stratum", F.lit("(other)")).alias("stratum"), "quality", "s.ratio", "s.above")
-        .count()
-        .collect()
-    )
-    good = {}
-    for r in counts:
-        if r["quality"] and r["ratio"] == next(iter(RATIOS)):
-            good[r["stratum"]] = good.get(r["stratum"], 0) + r["count"]
-    strata = frozenset(s for s, n in good.items() if n >= min_good and s != "(other)")
-    tables: dict[tuple[str, str], np.ndarray] = {}
-    for r in counts:
-        own = r["stratum"] if r["stratum"] in strata else "(other)"
-        table = tables.setdefault((own, r["ratio"]), np.zeros((2, 49), np.int64))
-        table[1 if r["quality"] else 0, r["above"]] += r["count"]
-    cutoffs = {}
+    above = [F.struct(F.lit(k).alias("ratio"), _above(k, cuts).alias("above")) for k, cuts in RATIOS.items()]
+    proposes = (F.col("quality") == 0) | (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PROPOSE)) == 0)
+    rows = measured.where(~base).join(marks, "doc_id")
+    marked = stored(rows.select("stratum", "quality", proposes.alias("proposes"), F.array(*above).alias("above")), "quality-labelled")
+    good = {
+        r["stratum"]: r["count"] for r in marked.where("quality != 0").groupBy("stratum").count().where(F.col("count") >= min_good).collect()
+    }
+    counts = marked.where("proposes").select("stratum", "quality", F.explode("above").alias("s"))
+    tables: dict[tuple[str | None, str], np.ndarray] = {}
+    for r in counts.groupBy("stratum", "quality", "s.ratio", "s.above").count().collect():
+        if r["stratum"] in good:
+            table = tables.setdefault((r["stratum"], r["ratio"]), np.zeros((2, 49), np.int64))
+            table[1 if r["quality"] else 0, r["above"]] += r["count"]
+    proposed: dict[tuple[str | None, str], int] = {}
     for (own, ratio), (bad, fine) in tables.items():
         n = len(RATIOS[ratio])
         # A document above the strictest `k` cutoffs (the list falls) is rejected by the last k of them.
         fine_out, bad_out = (np.cumsum(t[::-1])[::-1][n - np.arange(n)] for t in (fine, bad))
-        certified = binomial_tail(fine_out, int(fine.sum()), alpha) <= delta / len(tables)
-        length = n if certified.all() else int(np.argmin(certified))
-        if length and bad_out[:length].max() > 0:
-            best = int(np.argmax(bad_out[:length] - fine_out[:length]))
-            if bad_out[best] > fine_out[best]:
-                cutoffs[own, ratio] = float(RATIOS[ratio][best])
-    return Rules(cutoffs, strata)
+        gain = np.where(fine_out <= alpha / len(RATIOS) * fine.sum(), bad_out - fine_out, -1)
+        if gain.max() > 0:
+            proposed[own, ratio] = int(np.argmax(gain))
+    # Step k has each ratio at k / STEPS of its way to the proposal; a document notes the first that rejects it.
+    levels = {key: np.ceil(np.arange(1, STEPS + 1) * (best + 1) / STEPS).astype(int) - 1 for key, best in proposed.items()}
+    if not levels:
+        return Rules({})
+    fine, step = marked.where("quality != 0 and not proposes"), F.lit(None)
+    for own in good:
+        parts = []
+        for i, (ratio, cuts) in enumerate(RATIOS.items()):
+            if (own, ratio) in levels:
+                # Above `x` of n cutoffs: rejected from the level n - x on.
+                at = [int(np.searchsorted(levels[own, ratio], len(cuts) - x)) for x in range(len(cuts) + 1)]
+                parts.append(F.element_at(F.array(*map(F.lit, at)), F.col("above")[i]["above"] + 1))
+        parts.append(F.lit(STEPS))
+        step = F.when(F.col("stratum").eqNullSafe(F.lit(own)), F.array_min(F.array(*parts))).otherwise(step)
+    out = fine.groupBy("stratum", step.alias("step")).count().where("step is not null").collect()
+    cutoffs = {}
+    for own in good:
+        rejected = np.zeros(STEPS + 1, np.int64)
+        for r in out:
+            if r["stratum"] == own:
+                rejected[r["step"]] += r["count"]
+        certified = binomial_tail(np.cumsum(rejected)[:STEPS], int(rejected.sum()), alpha) <= delta / len(good)
+        length = STEPS if certified.all() else int(np.argmin(certified))
+        for (stratum, ratio), level in levels.items():
+            if stratum == own and length:
+                cutoffs[own, ratio] = float(RATIOS[ratio][level[length - 1]])
+    return Rules(cutoffs)
 
 
 def verdicts(
@@ -198,21 +207,19 @@ def verdicts(
 
     Texts are read once; the narrow table of counts is stored, joined to the labels for the cutoffs,
     and judged. A null or empty text has no words and fails the base rule. Labels without id or quality
-    are ignored, of several labels of a document the lowest counts, and a stratum without enough
-    labels is judged with all other small ones (null included). Without certified cutoffs the base rule
-    decides alone. Repeated rows give one row each.
+    are ignored, of several labels of a document the lowest counts, and a null stratum is one of its own.
+    In a stratum without certified cutoffs, unseen ones included, the base rule decides alone. Repeated rows give one row each.
     """
     measured = stored(features(docs, id_col, text_col, stratum_col), "quality-features")
     rules = certify(measured, labels, **limits)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    own = F.when(F.col("stratum").isin(*sorted(rules.strata)), F.col("stratum")).otherwise("(other)")
     rejected = F.lit(False)
-    for (stratum, ratio), cutoff in sorted(rules.cutoffs.items()):
-        rejected = rejected | ((F.col("own") == stratum) & (F.col(ratio) > cutoff))
+    for (stratum, ratio), cutoff in rules.cutoffs.items():
+        rejected = rejected | (F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.col(ratio) > cutoff))
     return (
-        measured.withColumns({"own": own, "base_failed": base})
+        measured.withColumn("base_failed", base)
         .withColumn("kept", ~(F.col("base_failed") | rejected))
-        .drop("own", "stratum")
+        .drop("stratum")
     )
 
 

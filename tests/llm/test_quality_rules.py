@@ -75,3 +75,27 @@ def test_no_cutoff_breaks_its_bound_too_often(spark, make):
     noise = labels.selectExpr("doc_id", "cast(pmod(xxhash64(doc_id), 5) > 0 as int) quality").where("doc_id is not null")
     got = q.verdicts(docs, noise, min_good=100).collect()
     assert sum(not r["kept"] for r in got) <= 0.08 * len(got)
+
+
+def test_strata_without_labels_of_their_own_get_no_cutoffs(spark, make):
+    """Cutoffs of well labelled languages must not fall on a rare or unseen one."""
+    docs, labels = labelled(spark, make)
+    small = (q.F.col("doc_id") % 40 == 0) & (q.F.col("doc_id") % 3 != 0)
+    lang = q.F.when(small, "rare").when(q.F.col("doc_id") % 39 == 0, "unseen").otherwise(q.F.when(q.F.col("lang") == "en", "en"))
+    got = {r["doc_id"]: r["kept"] for r in q.verdicts(docs.withColumn("lang", lang), labels, min_good=400).collect()}
+    assert all(got[i] for i in range(3000) if (i % 40 == 0 and i % 3) or i % 39 == 0)
+    assert not all(got[i] for i in range(0, 3000, 5))
+
+
+def test_all_rules_together_keep_the_bound(spark):
+    """Each ratio alone rejects 0.9 % of the good documents, all together 7 %."""
+    names = [*q.COUNTS, *q.RATIOS]
+    rows = []
+    for i in range(20_000):
+        bad, odd = i % 2 == 0, (i // 2) % 1000
+        ratios = [float(c[0] / 1e3 if not bad and odd // 9 != k else c[0] * 10) for k, c in enumerate(q.RATIOS.values())]
+        rows.append((i, "en", 100, 400, 0, 0, 0, *ratios))
+    schema = "doc_id long, stratum string, " + ", ".join(f"{n} {'long' if n in q.COUNTS else 'double'}" for n in names)
+    rules = q.certify(spark.createDataFrame(rows, schema), spark.range(20_000).selectExpr("id doc_id", "cast(id % 2 as int) quality"))
+    good = [r for r in rows if r[0] % 2]
+    assert sum(rules.rejects(r[1], r[7:]) for r in good) <= 0.01 * len(good)
