@@ -14,7 +14,7 @@ from narrascope.llm.common import ship
 # Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist select desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table ul".split()
@@ -37,8 +37,9 @@ IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL
 )
-_HIDING = re.compile(r"(?i)(?:^|[\s\"'])hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden")
-_ORDERED_FROM = re.compile(r"(?i)\bstart\s*=\s*[\"']?(-?\d{1,9})")
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_INTEGER = re.compile(r"\s*(-?\d{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -49,6 +50,32 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names and values of a start tag; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(raw):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def is_hidden(raw: str) -> bool:
+    """Has the attribute `hidden`, or a style whose last word is not to show the element."""
+    low = raw.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    found = attributes(raw)
+    if "hidden" in found:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", found.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, bang, _ = value.partition("!")
+        name = name.strip()
+        if bool(bang) >= style.get(name, (False, ""))[0]:
+            style[name] = bool(bang), value.strip()
+    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
+
+
 def tree(source: str) -> Node:
     """The element tree; end tags without a start are ignored, missing ones are implied."""
     root = Node("#root")
@@ -162,21 +189,29 @@ def render(source: str | None) -> str:
     """
     writers, tables, lists = [Writer()], [], []
     pre = 0
+    #: Whether text shows: inside svg only that of its text elements does.
+    shown = [True]
     work: list[tuple[Node | str, bool]] = [(tree(source or ""), False)]
     while work:
         node, leaving = work.pop()
         own = writers[-1]
         indent = "  " * max(0, len(lists) - 1)
         if isinstance(node, str):
-            own.text(node, indent, pre > 0)
+            if shown[-1]:
+                own.text(node, indent, pre > 0)
             continue
         tag = node.tag
         if not leaving:
-            if tag in HIDDEN or (node.attrs and _HIDING.search(node.attrs)):
+            if tag in HIDDEN or (node.attrs and is_hidden(node.attrs)):
                 continue
             if tag == "br":
                 own.gap(own.breaks + 1)
                 continue
+            if tag == "svg":
+                shown.append(False)
+            elif tag in ("text", "foreignobject") and len(shown) > 1:
+                own.gap(1)
+                shown.append(True)
             if tag == "table":
                 tables.append([])
                 lists.append(None)
@@ -187,7 +222,7 @@ def render(source: str | None) -> str:
             elif tag in BLOCK:
                 own.gap(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 1)
             if tag in ("ul", "ol", "menu"):
-                start = _ORDERED_FROM.search(node.attrs)
+                start = _INTEGER.match(attributes(node.attrs).get("start", "")) if node.attrs else None
                 lists.append(int(start[1]) if tag == "ol" and start else 1 if tag == "ol" else None)
             elif tag == "li":
                 number = lists[-1] if lists else None
@@ -199,6 +234,10 @@ def render(source: str | None) -> str:
             work.append((node, True))
             work.extend((c, False) for c in reversed(node.children))
             continue
+        if tag == "svg" or (tag in ("text", "foreignobject") and len(shown) > 1):
+            shown.pop()
+            if tag != "svg":
+                own.gap(1)
         if tag == "table":
             lists.pop()
             text = aligned(tables.pop())

@@ -24,6 +24,19 @@ def test_render(source, text):
     assert html_render.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<div class="hidden md:flex">a</div>', "a"), ('<p class="x hidden y">a</p>', "a"), ('<p title="the hidden truth">a</p>', "a"),
+        ('<p data-x="display:none">a</p>', "a"), ("<p HIDDEN=''>no</p>b", "b"), ("<p style='display:none;display:block'>a", "a"),
+        ("<ol data-start=7 class='start=5'><li>a</ol>", "1. a"), ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("<svg><title>no</title><desc>no</desc>no<text>a <tspan>b</tspan></text><text>c</text></svg>d", "a b\nc\nd"),
+    ],
+)
+def test_only_real_attributes_hide_and_drawings_keep_their_text(source, text):
+    assert html_render.render(source) == text
+
+
 def test_deep_and_broken_pages():
     assert html_render.render("<div>" * 50_000 + "x") == "x"
     assert html_render.render("<table><tr><td>" * 300 + "x").strip() == "x"
