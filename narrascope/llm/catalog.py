@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import scratch_path
 from narrascope.llm import (
-    class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules, token_files,
+    chat, class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules, token_files,
 )
+from narrascope.llm.common import stored
 from narrascope.llm.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +82,15 @@ def op10_token_files(spark, folder):
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")
 
 
+@query
+def op13_chat_format(spark, folder):
+    own = "select -7L conv_id, t turn, if(t = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2) r(t)"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    # Stored, so that the digests are read back from the written output.
+    chats = stored(chat.format_chats(turns.union(spark.sql(own))), "chats")
+    return chat.digest(chats)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -29,3 +29,24 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0)
   coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_MARKS = r"([\[<])(\\*)((?:/?(?:INST|SYS|ROLE)|ANS|NEXT|TEXT)\]|/?s>)"
+
+SQL["op13_chat_format"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)
+), e AS (
+  SELECT *, length(regexp_replace(text, '{_MARKS}', '\1\\\2\3', 'g')) AS n,
+    length(regexp_replace(role, '{_MARKS}', '\1\\\2\3', 'g')) AS n_role,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS joined
+  FROM c
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE WHEN joined THEN 8 WHEN role = 'system' THEN 13 WHEN role = 'user' THEN 15 WHEN role = 'assistant' THEN 10
+    ELSE 21 + n_role END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
