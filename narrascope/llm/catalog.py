@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import scratch_path
 from narrascope.llm import (
-    chat, class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules, token_files,
+    chat, class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules,
+    token_files, vector_codes,
 )
 from narrascope.llm.common import stored
 from narrascope.llm.oracle import SQL
@@ -82,6 +83,13 @@ def op10_token_files(spark, folder):
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")
 
 
+@query
+def op12_vector_codes(spark, folder):
+    codes, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    found = vector_codes.with_label_errors(codes)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 @query
 def op13_chat_format(spark, folder):
     own = "select -7L conv_id, t turn, if(t = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2) r(t)"

@@ -50,3 +50,47 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     ELSE 21 + n_role END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry; the nearest is the smallest distance * entries + entry."""
+    distance = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT row, vec_id, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(part)
+), c0 AS MATERIALIZED (
+  SELECT part, rank - 1 AS entry, min(x) AS x FROM (SELECT *, dense_rank() OVER (ORDER BY vec_id) AS rank FROM p WHERE vec_id IS NOT NULL)
+  WHERE rank <= {entries} GROUP BY part, rank
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT p.row, p.part, min({distance} * {entries} + c.entry) AS m FROM p JOIN c{i} c USING (part) GROUP BY p.row, p.part
+)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (
+  SELECT part, entry, place, sum(x) AS s, count(*) AS n FROM (
+    SELECT part, m % {entries} AS entry, unnest(range(len(p.x))) AS place, unnest(p.x) AS x FROM a{i} JOIN p USING (row, part)
+  ) GROUP BY part, entry, place
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(u.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT part, entry, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY place) AS x FROM s{i} GROUP BY part, entry
+  ) u ON c.part = u.part AND c.entry = u.entry
+)""")
+    return ",".join(steps) + f"""
+, done AS (
+  SELECT kept.row, any_value(vec_id) AS vec_id, any_value(label) AS label, CAST(sum(m // {entries}) AS BIGINT) AS error,
+    string_agg(lpad(to_hex(m % {entries}), 2, '0'), '' ORDER BY part) AS code
+  FROM a{rounds} JOIN kept USING (row) GROUP BY kept.row
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM done
+"""
+
+
+SQL["op12_vector_codes"] = _vector_codes()
