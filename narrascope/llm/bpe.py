@@ -9,11 +9,15 @@ from array import array
 
 import numpy as np
 
+from narrascope.llm.common import Kept, working_on
+
 #: Tokenizer file; any file of the library whose pre-tokenizer is byte-level can be named.
 END_ID = 0
 #: Characters for which cutting at single spaces and line breaks never cuts a token: printable ASCII,
 #: line breaks, the Latin letters from U+00C0 on, and general punctuation.
 _OTHER = re.compile("[^\n\x20-\x7eÀ-ɏ‐-‧]")
+#: The printable ones of these.
+CUT_CHARACTERS = [c for c in map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x250), *range(0x2010, 0x2028))) if not _OTHER.match(c)]
 #: Runs of white space that a cut at spaces or line breaks could split in a wrong place.
 _PIECES = re.compile(
     "'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\n"
@@ -36,41 +40,33 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Words(dict):
-    """Ids of the words met, as bytes.
-
-    Frequent words come early, so at `limit` words later ones are encoded without being kept; after
-    twice as many of these everything is forgotten, in case the texts have changed.
-    """
+class Words(Kept):
+    """Ids of the words met, as bytes."""
 
     def __init__(self, tokenizer, dtype, limit: int):
-        self.model, self.limit, self.beyond = tokenizer.model, limit, 0
+        super().__init__(limit, patience=2)
+        self.model = tokenizer.model
         self.kind = "H" if dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.space = self.letters[32]
 
-    def ids(self, shown: str) -> bytes:
-        found = array(self.kind, [t.id for t in self.model.tokenize(shown)])
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
-    def encoded(self, word: str, first: bool = False) -> bytes:
+    def ids(self, word: str, first: bool = False) -> list[int]:
         """Ids of a word with the space before it; none stands before a line break or the first word."""
+        tokenize = self.model.tokenize
         if word.isalpha() and word.isascii():
-            return self.ids(word if first else self.space + word)
+            return [t.id for t in tokenize(word if first else self.space + word)]
         pieces = _PIECES.findall(word if first or word[:1] == "\n" else " " + word)
-        return b"".join([self.ids(p.encode().decode("latin-1").translate(self.letters)) for p in pieces])
+        return [t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]
+
+    def encoded(self, word: str, first: bool = False) -> bytes:
+        found = array(self.kind, self.ids(word, first))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def __missing__(self, word: str) -> bytes:
         value = self.encoded(word)
-        if len(self) < self.limit:
-            self[word] = value
-        else:
-            self.beyond += 1
-            if self.beyond > 2 * self.limit:
-                self.clear()
-                self.beyond = 0
+        self.keep(word, value, len(value))
         return value
 
 
@@ -80,14 +76,16 @@ class Encoder:
     A byte-level tokenizer never merges across the white space before a word, so a text is cut into
     words (with the space or line break before them), and only words that the worker has not met yet go
     to the library's model. Texts with other white space runs, special tokens or rare characters go to
-    the library as a whole. Both ways give the ids of `encode(text, add_special_tokens=False)`.
+    the library as a whole. Both ways give the ids of `encode(text, add_special_tokens=False)`. With
+    `plain` the strings of special tokens are text like any other. Words are kept up to `limit` bytes.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200 << 20, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Words(self.tokenizer, self.dtype, limit)
@@ -119,6 +117,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
+    working_on("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import scratch_path
 from narrascope.llm import (
-    chat, class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules,
+    align, chat, class_lm, decontaminate, html_render, importance, jaccard, packing, piece_counts, pii, quality_rules,
     token_files, vector_codes,
 )
 from narrascope.llm.common import stored
@@ -83,6 +83,11 @@ def op10_token_files(spark, folder):
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")
 
 
+@query
+def op11_alignment(spark, folder):
+    return align.align(table(spark, folder, "documents"))
+
+
 @query
 def op12_vector_codes(spark, folder):
     codes, books = vector_codes.compress(table(spark, folder, "embeddings"))

@@ -61,33 +61,64 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-class WordHashes(dict):
-    """Hashes of words met early in a worker's life, which frequent words are.
+#: Words longer than this are never kept by a cache, and bytes that an entry takes besides its own.
+LONGEST, ENTRY = 64, 200
+_caches: list[Kept] = []
+_working_on: list[str] = []
 
-    At `limit` words later ones are hashed without being kept; after eight times as many of these
-    everything is forgotten, in case the texts have changed.
-    """
 
-    limit = 200_000
-    beyond = 0
+class Kept(dict):
+    """Values of words met early in a worker's life, which frequent words are, in a bounded number of bytes.
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
+    Words beyond `LONGEST` characters are not kept, so no text can fill it with few words. When it is
+    full, later words are worked out without being kept; after `patience` times as many of these as it
+    holds everything is forgotten, in case the texts have changed.
+    """
+
+    def __init__(self, limit: int, patience: int = 8):
+        super().__init__()
+        self.limit, self.patience, self.used, self.beyond = limit, patience, 0, 0
+        _caches.append(self)
+
+    def keep(self, word, value, size: int = 0) -> None:
+        """Keep a value of `size` bytes of its own if there is room."""
+        cost = ENTRY + len(word) + size
+        if len(word) > LONGEST or size > 16 * LONGEST:
+            return
+        if self.used + cost <= self.limit:
             self[word] = value
+            self.used += cost
         else:
             self.beyond += 1
-            if self.beyond > 8 * self.limit:
+            if self.beyond > self.patience * len(self):
                 self.clear()
-                self.beyond = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = self.beyond = 0
+
+
+def working_on(operator: str) -> None:
+    """What a reused worker has kept for another kind of work is forgotten; called by whatever fills a cache."""
+    if _working_on != [operator]:
+        _working_on[:] = [operator]
+        for cache in _caches:
+            cache.clear()
+
+
+class WordHashes(Kept):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        self.keep(word, value)
         return value
 
 
-HASHES = WordHashes()
+HASHES = WordHashes(48 << 20)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words. Two different words agree with probability 2**-64."""
+    working_on("words")
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 

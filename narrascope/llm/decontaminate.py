@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import ship, texts, utf8
+from narrascope.llm.common import ship, texts, utf8, working_on
 
 WINDOW = 10
 #: Characters of window text in one automaton; a larger benchmark is scanned in several of them.
@@ -161,6 +161,7 @@ def contamination(
     parts = [Part(b) for b in parts_of(benchmark, item_col, item_text_col, width, part_chars)]
 
     def run(batches):
+        working_on("spans")
         for batch in batches:
             rows = [_row(d, t, parts) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _ARROW]

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from narrascope.llm.common import texts, utf8
+from narrascope.llm.common import Kept, texts, utf8, working_on
 
 #: Stands before every word of a text in the vocabulary file.
 WORD_START = "▁"
@@ -34,16 +34,15 @@ def vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in kept]
 
 
-class PieceCounter(dict):
-    """Counts of words; a word met before is only looked up, and all are forgotten at `limit` words.
+class PieceCounter(Kept):
+    """Counts of words; a frequent word met before is only looked up, up to `limit` bytes of them.
 
     Characters that are no piece themselves count one token per UTF-8 byte and end the match before
     them; pieces that hold such a character are left out.
     """
 
-    def __init__(self, pieces: Iterable[str], limit: int = 1_000_000):
-        super().__init__()
-        self.limit = limit
+    def __init__(self, pieces: Iterable[str], limit: int = 160 << 20):
+        super().__init__(limit)
         pieces = set(pieces)
         self.single = {p for p in pieces if len(p) == 1}
         self.next: list[dict[str, int]] = [{}]
@@ -76,9 +75,8 @@ class PieceCounter(dict):
                 self.fail[at], self.pops[at] = self.next[left][c], pops
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.count(word)
+        value = self.count(word)
+        self.keep(word, value)
         return value
 
     def count(self, word: str) -> int:
@@ -104,6 +102,7 @@ _counters: dict[str, PieceCounter] = {}
 
 
 def counter(path: str) -> PieceCounter:
+    working_on("pieces")
     if path not in _counters:
         _counters[path] = PieceCounter(vocabulary(path))
     return _counters[path]
