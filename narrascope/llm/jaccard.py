@@ -4,13 +4,16 @@ Two sets of a and b shingles that reach the similarity differ in at most d = (a
 shingles. Shingles are hashed into groups:
 
 * The directory above the trees uses d + 1 groups and more: of so many groups at least one has the same
-  content in both sets, so every pair to be found meets in a bucket (group, content of the group). The
-  buckets give clusters of sets; a pair to be found never lies in two clusters. One global tree over the
-  counts would not split anything: the allowed distance of a pair is many times the spread of a single
-  count, so that every node of the tree would be visited by every query.
-* Inside a cluster the counts per group of every set are a point of an R-tree. The overlap of a set with
+  content in both sets, so every pair to be found meets in a bucket (group, content of the group). One
+  global tree over the counts would not split anything: the allowed distance of a pair is many times the
+  spread of a single count, so that every node of the tree would be visited by every query.
+* Inside a bucket the counts per group of every set are a point of an R-tree. The overlap of a set with
   everything below a node is at most the sum of the minima of its counts and the node's largest counts.
-  Pairs that survive are verified on the whole sets, unless links already connect them.
+  Pairs that survive, and pass the same bound on finer counts, are candidates; what candidates connect
+  is a cluster, and a pair to be found never lies in two clusters. Only counts are shuffled for this, and
+  of buckets with the same members only one is searched.
+* Inside a cluster candidates are found in the same way and verified on the whole sets, unless links
+  already connect them.
 
 A cluster is processed in tiles of bounded size which all contain the set closest to its mean point;
 pairs across tiles are searched where that leaves a cluster in several pieces.
@@ -27,6 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from narrascope.functions.sizing import broadcast_if_small
 from narrascope.llm.common import hashed, mix, ship, signed, steps, stored, texts, utf8, windows
@@ -121,6 +125,23 @@ def group_counts(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS)
 
 
+def fine_counts(found: np.ndarray) -> np.ndarray:
+    """Counts over more groups for larger sets, so that the bound on the overlap stays sharp; they fold to fewer."""
+    groups = DIMENSIONS if len(found) < 512 else 4 * DIMENSIONS if len(found) < 4096 else 16 * DIMENSIONS
+    shift = np.uint64(64 - (groups.bit_length() - 1))
+    return np.bincount((found >> shift).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(groups, -1).sum(axis=1)
+
+
+def bounded_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Sum of the minima of two fine counts: no smaller than the overlap."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
+
+
 class CountTree:
     """A bulk-loaded R-tree over group counts: a node keeps its largest counts and its smallest and largest size."""
 
@@ -201,18 +222,44 @@ def link_forest(sets: list[np.ndarray], percent: int, known: list[int] | None =
     return out
 
 
+def candidate_forest(fine: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that the bounds allow, as far as they connect pieces that earlier pairs do not connect."""
+    if len(fine) == 2:
+        small, large = sorted(map(int, sizes))
+        fits = percent * large <= 100 * small and bounded_overlap(*fine) >= needed(small, large, percent)
+        return [(0, 1)] if fits else []
+    points = np.stack([folded(f, DIMENSIONS) for f in fine])
+    tree, root, out, pieces = CountTree(points, sizes), list(range(len(fine))), [], len(fine)
+    for i in range(len(fine)):
+        if pieces == 1:
+            break
+        own = find(root, i)
+        for j in tree.near(points[i], sizes[i], percent):
+            other = find(root, int(j))
+            if other != own and bounded_overlap(fine[i], fine[j]) >= needed(sizes[i], sizes[j], percent):
+                root[other] = own
+                out.append((i, int(j)))
+                pieces -= 1
+    return out
+
+
 def _narrow(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sid) of every document."""
+    """(doc_id, n, sid, fine) of every document."""
 
     def run(batches):
         for batch in steps(batches):
             sets = [shingles(t, width) for t in batch[1].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_hash, sets), pa.int64())],
-                ["doc_id", "n", "sid"],
+                [
+                    batch[0],
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(map(set_hash, sets), pa.int64()),
+                    pa.array([fine_counts(s).astype("<u4").tobytes() for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n", "sid", "fine"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, fine binary")
 
 
 def _bucket_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -317,18 +364,59 @@ def _tiled(sets: DataFrame, tile: int) -> DataFrame:
     )
 
 
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate links (a, b) that connect what the bounds connect inside each bucket of `members`(key, sid, n, fine)."""
+
+    def flush(rows):
+        rows = list({r[0]: r for r in rows}.values())
+        if len(rows) < 2:
+            return []
+        fine = [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows]
+        return [(rows[i][0], rows[j][0]) for i, j in candidate_forest(fine, np.array([r[1] for r in rows]), percent)]
+
+    def made(out):
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        bucket, rows = None, []
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(n).to_pylist() for n in ("key", "sid", "n", "fine")), strict=True):
+                if key != bucket:
+                    out += flush(rows)
+                    bucket, rows = key, []
+                rows.append(row)
+            yield made(out)
+        yield made(flush(rows))
+
+    dealt = members.select("key", "sid", "n", "fine").repartition("key")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _meeting(docs: DataFrame, narrow: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
+    """Edges (a, b) between sets: whatever they do not connect cannot be linked.
+
+    Buckets with the same members are searched once: they agree in the number of members and in two sums of
+    their hashes. A bucket of more than a tile is not searched here; its sets stay together.
+    """
+    by_key = Window.partitionBy("key")
+    sums = [F.sum(F.xxhash64("sid", F.lit(i)) % (1 << 40)).over(by_key).alias(f"sum{i}") for i in range(2)]
+    rows = _bucket_rows(docs, width, percent)
+    rows = rows.select("key", "sid", F.min("sid").over(by_key).alias("hub"), F.max("sid").over(by_key).alias("top"), F.count("sid").over(by_key).alias("members"), *sums)
+    met = stored(rows.where("hub <> top").drop("top"), "jaccard-buckets")
+    large = met.where((F.col("members") > tile) & (F.col("hub") != F.col("sid"))).selectExpr("hub a", "sid b")
+    small = met.where(F.col("members") <= tile)
+    once = small.groupBy("members", "sum0", "sum1").agg(F.min("key").alias("key")).select("key")
+    sets = narrow.where("sid <> 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    return large.union(_candidates(small.join(once, "key").join(sets, "sid"), percent))
+
+
 def similar_sets(docs: DataFrame, *, width: int, percent: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row and (sid, label) of the linked distinct sets, both stored."""
     ship(docs.sparkSession)
     narrow = stored(_narrow(docs, width), "jaccard-documents")
-    by_key = Window.partitionBy("key")
-    meeting = (
-        _bucket_rows(docs, width, percent)
-        .withColumn("hub", F.min("sid").over(by_key))
-        .where("hub <> sid")
-        .selectExpr("hub a", "sid b")
-    )
-    clusters = components(meeting, "jaccard-clusters")
+    clusters = components(_meeting(docs, narrow, width, percent, tile), "jaccard-clusters")
     keepers = narrow.where("doc_id is not null and sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     keepers = keepers.join(clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
     keepers = stored(keepers, "jaccard-keepers")
@@ -351,7 +439,16 @@ def similar_sets(docs: DataFrame, *, width: int, percent: int, tile: int = TILE)
         second = pieced.join(broadcast_if_small(open_clusters), "cluster").withColumn("other", F.explode(others))
         more = _linked(second.withColumn("tile", pair), percent)
         labels = components(stored(links.union(more), "jaccard-links"), "jaccard-labels")
-    return narrow, labels.select(F.col("node").alias("sid"), "label")
+    return narrow.drop("fine"), labels.select(F.col("node").alias("sid"), "label")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
+    """(doc_id, n, sid, label, component_id) of every row; rows of one group share the label."""
+    narrow, labels = similar_sets(docs, width=width, percent=percent, tile=tile)
+    sets = narrow.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels, "sid", "left")
+    sets = stored(sets.withColumn("label", F.coalesce("label", "sid")), "jaccard-names")
+    names = sets.groupBy("label").agg(F.min("least").alias("component_id"))
+    return narrow.join(sets.join(names, "label").select("sid", "label", "component_id"), "sid", "left")
 
 
 def near_duplicates(
@@ -370,32 +467,43 @@ def near_duplicates(
     to each other. Rows with a null doc_id take no part and get a null component. Links between
     different sets that a chain of other links already connects are not listed.
     """
-    narrow, labels = similar_sets(texts(docs, id_col, text_col), width=width, percent=percent, tile=tile)
-    sets = narrow.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels, "sid", "left")
-    sets = stored(sets.withColumn("label", F.coalesce("label", "sid")), "jaccard-names")
-    names = sets.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = sets.join(names, "label").select("sid", "component_id")
-    return narrow.join(named, "sid", "left").select(
+    return _grouped(texts(docs, id_col, text_col), width, percent, tile).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
+def _with_sid(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """`docs` with the set name of the text in the column `_sid`."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in steps(batches):
+            names = [set_hash(shingles(t, width)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "_sid"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("_sid", LongType())]))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, without those whose group has a smaller doc_id.
 
-    Rows with a null id stay. Of rows that repeat an id one stays. The ids to drop are broadcast if their
-    measured number allows it, else joined by a shuffle.
+    Rows with a null id stay. Rows that repeat an id are judged by their own text: of those in one group
+    one stays, and of those without shingles one. The ids to drop are broadcast if their measured number
+    allows it, else joined by a shuffle; texts are only hashed again for repeated ids.
     """
-    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "jaccard-kept")
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(broadcast_if_small(drop), id_col, "left_anti")
-    again = stored(
-        found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)),
-        "jaccard-repeated",
-    )
+    found = _grouped(texts(docs, id_col, text_col), width, percent, TILE).where("doc_id is not null")
+    found = stored(found.withColumn("stays", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))), "jaccard-kept")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    again = stored(again, "jaccard-repeated")
+    own = F.col(id_col).cast("long") == F.col("_id")
+    drop = broadcast_if_small(found.where("not stays").select(F.col("doc_id").alias("_id")).distinct())
     if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").unionByName(once).select(docs.columns)
+        return docs.join(drop, own, "left_anti")
+    once = docs.join(again, own, "left_anti").join(drop, own, "left_anti")
+    verdicts = found.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+    verdicts = verdicts.select(F.col("doc_id").alias("_id"), F.col("sid").alias("_sid"), F.coalesce("label", "sid").alias("_label"), "stays").distinct()
+    repeated = _with_sid(docs.join(again, own, "left_semi"), text_col, width)
+    repeated = repeated.join(verdicts.where("stays").drop("stays"), own & (repeated["_sid"] == verdicts["_sid"])).dropDuplicates(["_id", "_label"])
+    return once.unionByName(repeated.select(docs.columns))

@@ -79,6 +79,30 @@ def test_keep_one(make, edge_rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 4, 5, None, None, 6, 8, 9, 11])
 
 
+def test_keep_one_judges_repeated_ids_by_their_own_text(make):
+    text = [" ".join(f"t{k}x{i}" for i in range(30)) for k in range(4)]
+    rows = [(1, text[0]), (5, text[0]), (5, text[1]), (6, text[2]), (6, text[3]), (6, text[3]), (7, text[3]), (8, None), (8, None), (8, text[2])]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(make(rows)).collect())
+    assert kept == Counter([(1, text[0]), (5, text[1]), (6, text[2]), (6, text[3]), (8, None)])
+
+
+def test_candidates_connect_every_pair_that_links():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 2**63, int(rng.choice([30, 600, 5_000]))).astype(np.uint64))
+        sets = [np.sort(base[rng.random(len(base)) < rng.uniform(0.7, 1)]) for _ in range(int(rng.integers(2, 9)))]
+        sizes = np.array([len(s) for s in sets])
+        edges = jaccard.candidate_forest([jaccard.fine_counts(s) for s in sets], sizes, 80)
+        label = list(range(len(sets)))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        for a in range(len(sets)):
+            for b in range(a):
+                if jaccard.overlap(sets[a], sets[b]) >= jaccard.needed(len(sets[a]), len(sets[b]), 80):
+                    assert label[a] == label[b]
+                assert jaccard.bounded_overlap(*(jaccard.fine_counts(sets[x]) for x in (a, b))) >= jaccard.overlap(sets[a], sets[b])
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_a_pair_that_links_shares_a_bucket(percent):
     rng = np.random.default_rng(percent)

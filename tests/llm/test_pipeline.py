@@ -53,5 +53,5 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_registry():
     names = set(entry_points.queries())
     numbers = {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}
-    assert numbers == set(range(1, 11)) and "pipeline" in names
+    assert numbers == set(range(1, 14)) and "pipeline" in names
     assert importlib.import_module("corpus_pipeline").ORACLE_SQL is None
