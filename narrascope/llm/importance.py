@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from narrascope.functions.sizing import broadcast_if_small
 from narrascope.llm.common import hashed, mix, ship, steps, stored, utf8, windows
 
 BUCKETS = 1 << 21
-#: Pseudo counts that pull the ratio of a bucket to one, and the expected count below which it is one.
-PRIOR, MIN_EXPECTED = 8.0, 10.0
+#: Pseudo counts that pull the ratio of a bucket to one where the text is thin.
+PRIOR = 8.0
+#: First sums of a block of counts, each over its share of the tasks.
+SALTS = 64
 #: Candidates that the last step of the selection may look at on the driver.
 SELECT_ROWS = 20_000
 
@@ -43,33 +46,37 @@ def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
             part = total[:, i * block : (i + 1) * block]
             if part.any():
                 raw = zlib.compress(part.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([raw], pa.binary())], ["block", "raw"])
+                salt = TaskContext.get().partitionId() % SALTS
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([salt], pa.int64()), pa.array([raw], pa.binary())], names)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for i, raw in zip(batch.column("block").to_pylist(), batch.column("raw").to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(raw), np.int64)
                 sums[i] = sums[i] + part if i in sums else part
         for i, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "raw"])
+            raw = zlib.compress(part.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([raw], pa.binary())], names)
 
-    schema = "block long, raw binary"
+    names, schema = ["block", "salt", "raw"], "block long, salt long, raw binary"
     out = np.zeros((2, buckets), np.int64)
-    for r in docs.select("text", "target").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
-        out[:, r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["raw"], np.int64).reshape(2, block)
+    first = docs.select("text", "target").mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema)
+    for r in first.repartition("block").mapInArrow(add, schema).collect():
+        out[:, r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["raw"]), np.int64).reshape(2, block)
     return out
 
 
-def log_ratio(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """log(p_target / p_raw) of every bucket, pulled to 0 where the raw text is thin.
+def log_weight(counts: np.ndarray, totals: tuple[int, int], found: np.ndarray, target: bool, prior: float = PRIOR) -> float:
+    """log(p_target / p_raw) of a document's buckets, from the counts of all other documents.
 
-    A bucket with few occurrences would only tell whether its document is itself one of the target.
+    Its own counts are left out of both models, or a thin bucket would only tell whether its document is
+    itself one of the target.
     """
-    raw, target = counts.astype(float)
-    expected = raw * target.sum() / max(1.0, raw.sum())
-    ratio = np.log((target + prior) / (expected + prior))
-    return np.where(expected >= MIN_EXPECTED, ratio, 0.0)
+    own, times = np.unique(found, return_counts=True)
+    raw, aim = counts[0, own] - times, counts[1, own] - times * target
+    share = (totals[1] - len(found) * target) / max(1, totals[0] - len(found))
+    return float((times * np.log((aim + prior) / (raw * share + prior))).sum())
 
 
 def kth_largest(keys: DataFrame, k: int, limit: int = SELECT_ROWS) -> float:
@@ -110,7 +117,7 @@ def resample(
     """Per document: doc_id, n_features, log_weight, key (log weight plus Gumbel noise), kept.
 
     Target are the documents labelled quality 1 and not toxic, raw are all; the counts of both cover
-    every text. The `keep` share (by default the share of the target among the labelled) with the largest
+    every text, and a document is weighed by those of the others. The `keep` share (by default the share of the target among the labelled) with the largest
     keys is kept: a sample without replacement in proportion to the weights. The noise is a hash of id
     and seed. Rows that tie with the last one are all kept. A null or empty text has weight one; without
     labels all weights are one and all rows are kept. Repeated rows give one row each.
@@ -123,24 +130,28 @@ def resample(
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_labels, n_target = marks.agg(F.count("*"), F.sum(F.col("target").cast("long"))).first()
     targets = marks.where("target")
-    ratio = log_ratio(_counts(_with_target(wanted, targets), buckets)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
+    marked = _with_target(wanted, targets)
+    counts = _counts(marked, buckets)
+    totals = (int(counts[0].sum()), int(counts[1].sum()))
+    # Of fixed size: two numbers a bucket.
+    sent = docs.sparkSession.sparkContext.broadcast(counts if counts.max(initial=0) >> 31 else counts.astype(np.int32))
 
     def run(batches):
         for batch in batches:
-            found = [buckets_of(t, buckets) for t in batch[1].to_pylist()]
+            found = [buckets_of(t, buckets) for t in batch.column("text").to_pylist()]
+            aims = batch.column("target").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch[0],
+                    batch.column("doc_id"),
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([float(sent.value[f].sum(dtype=np.float64)) for f in found], pa.float64()),
+                    pa.array([log_weight(sent.value, totals, f, t) for f, t in zip(found, aims, strict=True)], pa.float64()),
                 ],
                 ["doc_id", "n_features", "log_weight"],
             )
 
     # A number in (0, 1) from 52 bits of the hash.
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12) + F.lit(0.5)) / float(1 << 52)
-    keys = wanted.mapInArrow(run, "doc_id long, n_features long, log_weight double")
+    keys = marked.mapInArrow(run, "doc_id long, n_features long, log_weight double")
     keys = stored(keys.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "importance-keys")
     share = keep if keep is not None else (n_target or 0) / n_labels if n_labels else 1.0
     limit = kth_largest(keys, round(share * keys.count()))
@@ -149,4 +160,4 @@ def resample(
 
 def _with_target(docs: DataFrame, targets: DataFrame) -> DataFrame:
     marked = docs.join(broadcast_if_small(targets), "doc_id", "left")
-    return marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return marked.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))

@@ -18,8 +18,6 @@ _SPACE = " \t\n\r\x0b\x0c"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of good documents of a stratum that all rules together may reject, and the chance that any stratum breaks it.
 ALPHA, DELTA = 0.01, 0.05
-#: Strata with fewer good labelled documents get no cutoffs.
-MIN_GOOD = 1000
 #: One of so many good documents proposes cutoffs, the others certify them; steps from mild to the proposal.
 PROPOSE, STEPS = 4, 48
 #: Statistics on which a larger value is worse, with the cutoffs that are tried, from mild to strict.
@@ -128,9 +126,12 @@ def _above(ratio: str, cuts: np.ndarray) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c < F.col(ratio)))
 
 
-def certify(
-    measured: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA, min_good: int = MIN_GOOD
-) -> Rules:
+def _by_stratum(spark, strata: list[str | None], values: list, kind: pa.DataType) -> DataFrame:
+    """(_stratum, _value) as a table whose size the planner knows."""
+    return spark.createDataFrame(pa.table({"_stratum": pa.array(strata, pa.string()), "_value": pa.array(values, kind)}))
+
+
+def certify(measured: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> Rules:
     """Cutoffs from all labelled documents that pass the base rule.
 
     Every stratum (a null one too) stands for itself. A quarter of its good documents, chosen by a hash,
@@ -138,7 +139,8 @@ def certify(
     `STEPS` steps from mild to the proposal: "more than `alpha` of the good documents are rejected by any
     rule" must fall at level `delta` / strata by the exact binomial test, and the first step that does not
     pass ends the sequence. As the steps do not depend on the documents that test them, the chance that
-    any stratum breaks its bound is at most `delta`. Strata with too few good labels get no cutoffs.
+    any stratum breaks its bound is at most `delta`. Strata are those with any good label; where these are
+    too few to certify anything the test itself fails, whatever the size of the table.
     The driver only sees counts per stratum, ratio and cutoff, and per stratum and step.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -148,13 +150,12 @@ def certify(
     proposes = (F.col("quality") == 0) | (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PROPOSE)) == 0)
     rows = measured.where(~base).join(marks, "doc_id")
     marked = stored(rows.select("stratum", "quality", proposes.alias("proposes"), F.array(*above).alias("above")), "quality-labelled")
-    good = {
-        r["stratum"]: r["count"] for r in marked.where("quality != 0").groupBy("stratum").count().where(F.col("count") >= min_good).collect()
-    }
+    good = [r["stratum"] for r in marked.where("quality != 0").groupBy("stratum").count().collect()]
+    known = set(good)
     counts = marked.where("proposes").select("stratum", "quality", F.explode("above").alias("s"))
     tables: dict[tuple[str | None, str], np.ndarray] = {}
     for r in counts.groupBy("stratum", "quality", "s.ratio", "s.above").count().collect():
-        if r["stratum"] in good:
+        if r["stratum"] in known:
             table = tables.setdefault((r["stratum"], r["ratio"]), np.zeros((2, 49), np.int64))
             table[1 if r["quality"] else 0, r["above"]] += r["count"]
     proposed: dict[tuple[str | None, str], int] = {}
@@ -169,28 +170,26 @@ def certify(
     levels = {key: np.ceil(np.arange(1, STEPS + 1) * (best + 1) / STEPS).astype(int) - 1 for key, best in proposed.items()}
     if not levels:
         return Rules({})
-    fine, step = marked.where("quality != 0 and not proposes"), F.lit(None)
-    for own in good:
-        parts = []
-        for i, (ratio, cuts) in enumerate(RATIOS.items()):
-            if (own, ratio) in levels:
-                # Above `x` of n cutoffs: rejected from the level n - x on.
-                at = [int(np.searchsorted(levels[own, ratio], len(cuts) - x)) for x in range(len(cuts) + 1)]
-                parts.append(F.element_at(F.array(*map(F.lit, at)), F.col("above")[i]["above"] + 1))
-        parts.append(F.lit(STEPS))
-        step = F.when(F.col("stratum").eqNullSafe(F.lit(own)), F.array_min(F.array(*parts))).otherwise(step)
-    out = fine.groupBy("stratum", step.alias("step")).count().where("step is not null").collect()
+    # Per stratum and ratio, the first step that rejects a document above x of the n cutoffs: at level n - x or later.
+    owners = sorted({own for own, _ in levels}, key=str)
+    never = [STEPS] * (max(map(len, RATIOS.values())) + 1)
+    first = [
+        [np.searchsorted(levels[own, k], len(cuts) - np.arange(len(cuts) + 1)).tolist() if (own, k) in levels else never for k, cuts in RATIOS.items()]
+        for own in owners
+    ]
+    steps_of = _by_stratum(measured.sparkSession, owners, first, pa.list_(pa.list_(pa.int64())))
+    fine = marked.where("quality != 0 and not proposes").join(steps_of, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    step = F.array_min(F.zip_with("above", "_value", lambda x, at: F.element_at(at, x["above"] + 1)))
+    rejected = {own: np.zeros(STEPS + 1, np.int64) for own in owners}
+    for r in fine.groupBy("stratum", step.alias("step")).count().collect():
+        rejected[r["stratum"]][r["step"]] += r["count"]
     cutoffs = {}
-    for own in good:
-        rejected = np.zeros(STEPS + 1, np.int64)
-        for r in out:
-            if r["stratum"] == own:
-                rejected[r["step"]] += r["count"]
-        certified = binomial_tail(np.cumsum(rejected)[:STEPS], int(rejected.sum()), alpha) <= delta / len(good)
+    for own, out in rejected.items():
+        certified = binomial_tail(np.cumsum(out)[:STEPS], int(out.sum()), alpha) <= delta / len(good)
         length = STEPS if certified.all() else int(np.argmin(certified))
-        for (stratum, ratio), level in levels.items():
-            if stratum == own and length:
-                cutoffs[own, ratio] = float(RATIOS[ratio][level[length - 1]])
+        for ratio in RATIOS:
+            if length and (own, ratio) in levels:
+                cutoffs[own, ratio] = float(RATIOS[ratio][levels[own, ratio][length - 1]])
     return Rules(cutoffs)
 
 
@@ -213,13 +212,15 @@ def verdicts(
     measured = stored(features(docs, id_col, text_col, stratum_col), "quality-features")
     rules = certify(measured, labels, **limits)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rejected = F.lit(False)
-    for (stratum, ratio), cutoff in rules.cutoffs.items():
-        rejected = rejected | (F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.col(ratio) > cutoff))
+    strata = sorted({own for own, _ in rules.cutoffs}, key=str)
+    cuts = [[rules.cutoffs.get((own, k), math.inf) for k in RATIOS] for own in strata]
+    cutoffs = _by_stratum(docs.sparkSession, strata, cuts, pa.list_(pa.float64()))
+    over = F.exists(F.zip_with(F.array(*RATIOS), "_value", lambda x, cut: x > cut), lambda x: x)
     return (
-        measured.withColumn("base_failed", base)
-        .withColumn("kept", ~(F.col("base_failed") | rejected))
-        .drop("stratum")
+        measured.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+        .withColumn("base_failed", base)
+        .withColumn("kept", ~(F.col("base_failed") | F.coalesce(over, F.lit(False))))
+        .drop("stratum", "_stratum", "_value")
     )
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,3 +88,22 @@ def test_kth_largest(spark):
     for k in (1, 2, 500, 1200, 3501, 3502):
         want = sorted(values, reverse=True)[k - 1] if k < len(values) else float("-inf")
         assert importance.kth_largest(keys, k, limit=50) == want
+
+
+def test_weights_against_plain_counting(spark, make, edge_rows):
+    """Counts, ratio and weight of every document from dictionaries, its own counts left out."""
+    docs, labels = labelled(spark, make)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()][:200] + [(5_000 + i, t) for i, (_, t) in enumerate(edge_rows)]
+    aims = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in labels.collect()}
+    bags = [Counter(importance.buckets_of(t, 1 << 10).tolist()) for _, t in rows]
+    raw, target = Counter(), Counter()
+    for (i, _), bag in zip(rows, bags, strict=True):
+        raw.update(bag)
+        target.update(bag if aims.get(i) else {})
+    want = {}
+    for (i, _), bag in zip(rows, bags, strict=True):
+        own, n = bool(aims.get(i)), sum(bag.values())
+        share = (sum(target.values()) - n * own) / max(1, sum(raw.values()) - n)
+        want[i] = sum(t * math.log((target[b] - t * own + 8) / ((raw[b] - t) * share + 8)) for b, t in bag.items())
+    got = {r["doc_id"]: r["log_weight"] for r in importance.resample(make(rows), labels, buckets=1 << 10).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i])) for i in want)

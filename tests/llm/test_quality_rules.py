@@ -47,9 +47,9 @@ def labelled(spark, make, n=3000):
 
 def test_bad_go_and_good_stay(spark, make):
     docs, labels = labelled(spark, make)
-    got = q.verdicts(docs, labels, min_good=400).collect()
+    got = q.verdicts(docs, labels).collect()
     assert all(r["kept"] == (r["doc_id"] % 5 != 0) for r in got) and len(got) == 3000
-    kept = q.keep_good(docs, labels, min_good=400)
+    kept = q.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in got if r["kept"]}
 
@@ -73,7 +73,7 @@ def test_no_cutoff_breaks_its_bound_too_often(spark, make):
     """Ratios that say nothing about quality: no rule may reject many good documents."""
     docs, labels = labelled(spark, make, 1500)
     noise = labels.selectExpr("doc_id", "cast(pmod(xxhash64(doc_id), 5) > 0 as int) quality").where("doc_id is not null")
-    got = q.verdicts(docs, noise, min_good=100).collect()
+    got = q.verdicts(docs, noise).collect()
     assert sum(not r["kept"] for r in got) <= 0.08 * len(got)
 
 
@@ -82,7 +82,7 @@ def test_strata_without_labels_of_their_own_get_no_cutoffs(spark, make):
     docs, labels = labelled(spark, make)
     small = (q.F.col("doc_id") % 40 == 0) & (q.F.col("doc_id") % 3 != 0)
     lang = q.F.when(small, "rare").when(q.F.col("doc_id") % 39 == 0, "unseen").otherwise(q.F.when(q.F.col("lang") == "en", "en"))
-    got = {r["doc_id"]: r["kept"] for r in q.verdicts(docs.withColumn("lang", lang), labels, min_good=400).collect()}
+    got = {r["doc_id"]: r["kept"] for r in q.verdicts(docs.withColumn("lang", lang), labels).collect()}
     assert all(got[i] for i in range(3000) if (i % 40 == 0 and i % 3) or i % 39 == 0)
     assert not all(got[i] for i in range(0, 3000, 5))
 
@@ -99,3 +99,47 @@ def test_all_rules_together_keep_the_bound(spark):
     rules = q.certify(spark.createDataFrame(rows, schema), spark.range(20_000).selectExpr("id doc_id", "cast(id % 2 as int) quality"))
     good = [r for r in rows if r[0] % 2]
     assert sum(rules.rejects(r[1], r[7:]) for r in good) <= 0.01 * len(good)
+
+
+def test_kept_against_plain_counting(spark, make):
+    """The whole method once more in plain Python, on documents of two languages and none."""
+    docs, labels = labelled(spark, make)
+    flags = docs.select("doc_id", "lang", (q.F.pmod(q.F.xxhash64("doc_id", q.F.lit(5)), q.F.lit(q.PROPOSE)) == 0).alias("own"), "text").collect()
+    quality = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            quality[r["doc_id"]] = min(r["quality"], quality.get(r["doc_id"], 9))
+    rows = {r["doc_id"]: (r["lang"], r["own"], q.measure(r["text"])) for r in flags}
+    usable = [(i, *rows[i]) for i in quality if not q.base_failed(rows[i][2][0], rows[i][2][4])]
+    strata = {lang for i, lang, _, _ in usable if quality[i]}
+    cutoffs = {}
+    for lang in strata:
+        mine = [(quality[i], own, m[5:]) for i, x, own, m in usable if x == lang]
+        good = [m for v, own, m in mine if v and own]
+        bad = [m for v, own, m in mine if not v]
+        best = {}
+        for k, cuts in enumerate(q.RATIOS.values()):
+            gains = []
+            for cut in cuts:
+                out = sum(m[k] > cut for m in good)
+                gains.append(sum(m[k] > cut for m in bad) - out if out <= q.ALPHA / len(q.RATIOS) * len(good) else -1)
+            if max(gains) > 0:
+                best[k] = gains.index(max(gains))
+        tests = [m for v, own, m in mine if v and not own]
+        for step in range(1, q.STEPS + 1):
+            at = {k: list(q.RATIOS.values())[k][math.ceil(step * (b + 1) / q.STEPS) - 1] for k, b in best.items()}
+            x, n = sum(any(m[k] > cut for k, cut in at.items()) for m in tests), len(tests)
+            tail = sum(math.comb(n, j) * q.ALPHA**j * (1 - q.ALPHA) ** (n - j) for j in range(x + 1))
+            if tail > q.DELTA / len(strata):
+                break
+            cutoffs[lang] = at
+    assert len(cutoffs) == len(strata) == 2
+    want = {i: not q.base_failed(m[0], m[4]) and not any(m[5 + k] > c for k, c in cutoffs.get(lang, {}).items()) for i, (lang, _, m) in rows.items()}
+    assert {r["doc_id"]: r["kept"] for r in q.verdicts(docs, labels).collect()} == want
+
+
+def test_five_hundred_strata(spark, make):
+    docs, labels = labelled(spark, make)
+    many = docs.withColumn("lang", q.F.concat(q.F.lit("l"), q.F.pmod("doc_id", q.F.lit(500))))
+    got = q.verdicts(many, labels).collect()
+    assert len(got) == 3000 and all(r["kept"] == (not r["base_failed"]) for r in got)  # a handful of labels certifies nothing
