@@ -80,7 +80,7 @@ class Encoder:
     `plain` the strings of special tokens are text like any other. Words are kept up to `limit` bytes.
     """
 
-    def __init__(self, path: str, limit: int = 200 << 20, plain: bool = False):
+    def __init__(self, path: str, limit: int = 128 << 20, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

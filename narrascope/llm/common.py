@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from narrascope.functions.sizing import scratch_path
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, unless the session sets another number.
+BATCH_ROWS, _BATCH = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one step inside an Arrow batch, so that arrays over all words of a step stay small.
 STEP_ROWS = 256
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -23,6 +28,9 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, so that caches live in the workers."""
+    # Texts may be long, so a batch of them has fewer rows than Spark's default, which is for narrow rows.
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -55,6 +63,16 @@ def steps(batches: Iterable[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    del batches
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: a reused worker would keep it for tasks that do not need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(text: str | None) -> bytes:
@@ -104,6 +122,7 @@ def working_on(operator: str) -> None:
         _working_on[:] = [operator]
         for cache in _caches:
             cache.clear()
+        hand_back()
 
 
 class WordHashes(Kept):
