@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import as_list, materialize
+from narrascope.functions.sizing import as_list, dealt_out, materialize
 from narrascope.operators.sampling import top_k_per_group
 from narrascope.operators.stats import drop_null_text, with_percent
 
@@ -214,7 +214,7 @@ def topics_fit(
 
     The corpus is passed `max_iter` times. With a `sampling_rate` below one an iteration sees that
     share of it, and there are as many more iterations, so the number of passes stays the same at any
-    size. Features are written once and read by every iteration. Only the vocabulary (at most
+    size. Features are written once, dealt out, and read by every iteration. Only the vocabulary (at most
     `max_terms` words) and the topic matrix reach the driver.
     """
     stop = tuple(default_stop_words() if stop_words is None else stop_words)
@@ -228,7 +228,9 @@ def topics_fit(
         list(terms), inputCol="_words", outputCol="features"
     )
     model = TopicModel(None, terms, counter, mode, stop)
-    features = materialize(model.features(rows.select(text_col), text_col).select("features"), "topic-features")
+    features = model.features(rows.select(text_col), text_col).select("features")
+    # Stored, so that a lost executor costs a re-read; dealt out, so that every iteration uses all tasks.
+    features = dealt_out(materialize(features, "topic-features")).persist()
     lda = LDA(
         k=k,
         seed=seed,
@@ -240,4 +242,5 @@ def topics_fit(
         optimizeDocConcentration=False,
         featuresCol="features",
     ).fit(features)
+    features.unpersist()
     return TopicModel(lda, terms, counter, mode, stop)
