@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -37,6 +38,9 @@ IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL
 )
+_COMMENT_START = re.compile(r"<!--.*\Z", re.DOTALL)
+#: Between an open paragraph and a tag that would close it, these keep it open.
+_STOPS = (BLOCK | frozenset("table td th li button".split())) - frozenset(["p"])
 _ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 _INTEGER = re.compile(r"\s*(-?\d{1,9})")
@@ -76,66 +80,88 @@ def is_hidden(raw: str) -> bool:
     return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
 
 
+class Open:
+    """The open elements, and of every kind their depths, so that no tag walks over all that is open."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.stops: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _STOPS:
+            self.stops.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.depths[tag].pop()
+            if tag in _STOPS:
+                self.stops.pop()
+
+    def nearest(self, tag: str) -> int:
+        """Depth of the innermost open element of a kind, or 0."""
+        found = self.depths.get(tag)
+        return found[-1] if found else 0
+
+    def close(self, tag: str) -> None:
+        """Close the nearest open element of this kind; cells and rows are not closed from inside another table."""
+        depth = self.nearest(tag)
+        if depth and (tag == "table" or depth > self.nearest("table")):
+            self._cut(depth)
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag closes without an end tag."""
+        if tag in CLOSES_P and self.nearest("p") > (self.stops[-1] if self.stops else 0):
+            self._cut(self.nearest("p"))
+        if tag not in IMPLIED:
+            return
+        kinds, fences = IMPLIED[tag]
+        fence = max(map(self.nearest, fences), default=0)
+        inside = [d[at] for d in (self.depths.get(k, ()) for k in kinds) if (at := bisect.bisect_right(d, fence)) < len(d)]
+        if inside:
+            self._cut(min(inside))
+
+
 def tree(source: str) -> Node:
     """The element tree; end tags without a start are ignored, missing ones are implied."""
     root = Node("#root")
-    open_ = [root]
-    at = 0
+    open_ = Open(root)
+    at, last = 0, source.rfind(">")
     while at < len(source):
-        found = _TAG.search(source, at)
+        # Behind the last ">" only a comment without an end can begin.
+        found = _TAG.search(source, at) if at <= last else _COMMENT_START.search(source, at)
         text = source[at : found.start() if found else len(source)]
         if text:
-            open_[-1].children.append(html.unescape(text))
+            open_.top.children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
-        if found[2] is None:
+        if found.lastindex is None or found[2] is None:
             continue
         tag = found[2].lower()
         if found[1]:
-            _close(open_, tag)
+            open_.close(tag)
             continue
-        _imply(open_, tag)
+        open_.imply(tag)
         node = Node(tag, found[3])
-        open_[-1].children.append(node)
+        open_.top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             inner = source[at : end.start() if end else len(source)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else len(source)
         elif tag not in VOID and not found[3].endswith("/"):
-            open_.append(node)
+            open_.push(node)
     return root
 
 
-def _close(open_: list[Node], tag: str) -> None:
-    """Close the nearest open element of this kind; cells and rows are not closed from inside another table."""
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag == tag:
-            del open_[i:]
-            return
-        if open_[i].tag == "table" and tag != "table":
-            return
-
-
-def _imply(open_: list[Node], tag: str) -> None:
-    if tag in CLOSES_P:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag == "p":
-                del open_[i:]
-                break
-            if open_[i].tag in ("table", "td", "th", "li", "button") or open_[i].tag in BLOCK:
-                break
-    kinds, fences = IMPLIED.get(tag, ((), ()))
-    closing = len(open_)
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in kinds:
-            closing = i
-        elif open_[i].tag in fences:
-            break
-    del open_[closing:]
-
-
 class Writer:
     """Text with collapsed white space and requested breaks between blocks."""
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,21 @@ def test_weights_against_plain_counting(spark, make, edge_rows):
         want[i] = sum(t * math.log((target[b] - t * own + 8) / ((raw[b] - t) * share + 8)) for b, t in bag.items())
     got = {r["doc_id"]: r["log_weight"] for r in importance.resample(make(rows), labels, buckets=1 << 10).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i])) for i in want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span><div>" * 90_000, "</b>" * 250_000, "<body>" * 160_000, "<a " * 330_000, "<b><table>" + "<span>" * 80_000 + "</b>" * 100_000, "<span>" * 80_000 + "<hr>" * 100_000],
+    ids=["nested", "stray ends", "bodies", "no end", "fenced ends", "rules"],
+)
+def test_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_render.tree(page + "x")
+    assert time.perf_counter() - start < 5
+
+
+def test_empty_table_and_clashing_columns(spark):
+    schema = "page_id long, html string, text string, node string"
+    assert html_render.visible_text(spark.createDataFrame([], schema)).count() == 0
+    got = html_render.visible_text(spark.createDataFrame([(1, "<p>a", "t", "n")], schema)).collect()
+    assert [tuple(r) for r in got] == [(1, "a")]
