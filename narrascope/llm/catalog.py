@@ -40,7 +40,7 @@ def op2_html_render(spark, folder):
 @query
 def op3_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query
