@@ -157,6 +157,41 @@ assigned AS (SELECT e.vec_id, cluster FROM embeddings e, c
   QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], centre), cluster) = 1)"""
 
 
+def digamma(x: str) -> str:
+    """The asymptotic series ten places up, brought back by the recurrence."""
+    y = f"({x} + 10)"
+    series = f"1 / (12 * {y}^2) - 1 / (120 * {y}^4) + 1 / (252 * {y}^6) - 1 / (240 * {y}^8)"
+    return f"(ln({y}) - 1 / (2 * {y}) - ({series}) - (" + " + ".join(f"1 / ({x} + {i})" for i in range(10)) + "))"
+
+
+def _topics_step() -> str:
+    """Inner steps and sums of one pass, a table per formula."""
+    prior = f"(1e0 / {P.STEP_TOPICS})"
+    parts = [
+        f"""b AS (SELECT doc_id, term, count(*)::DOUBLE AS cnt FROM
+  (SELECT doc_id, unnest({NO_STOP}) AS term FROM documents) GROUP BY ALL)""",
+        f"""vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS w FROM (
+  SELECT term, sum(cnt) AS n_total FROM b GROUP BY term
+  HAVING count(*) >= 10 AND count(*) <= 0.9::DOUBLE * (SELECT count(*) FROM documents)
+  ORDER BY n_total DESC, term LIMIT {P.STEP_TERMS}))""",
+        "c AS (SELECT doc_id, w, cnt FROM b JOIN vocab USING (term))",
+        f"start AS (SELECT z, w, (1 + (7 * w + 3 * z) % 5)::DOUBLE AS lam FROM vocab, (SELECT unnest(range({P.STEP_TOPICS})) AS z))",
+        "tot AS (SELECT z, sum(lam) AS s FROM start GROUP BY z)",
+        f"beta AS (SELECT z, w, exp({digamma('lam')} - {digamma('s')}) AS b FROM start JOIN tot USING (z))",
+        f"th0 AS (SELECT doc_id, z, 1e0 AS t FROM (SELECT DISTINCT doc_id FROM c), (SELECT unnest(range({P.STEP_TOPICS})) AS z))",
+    ]
+    for i in range(P.STEP_INNER + 1):
+        parts.append(f"m{i} AS (SELECT doc_id, w, sum(t * b) AS m FROM c JOIN th{i} USING (doc_id) JOIN beta USING (z, w) GROUP BY ALL)")
+        if i < P.STEP_INNER:
+            parts.append(f"""g{i} AS (SELECT doc_id, z, {prior} + sum(cnt * t * b / m) AS g FROM c JOIN m{i} USING (doc_id, w)
+  JOIN th{i} USING (doc_id) JOIN beta USING (z, w) GROUP BY ALL)""")
+            parts.append(f"th{i + 1} AS (SELECT doc_id, z, exp({digamma('g')}) AS t FROM g{i})")
+    last = P.STEP_INNER
+    return f"""WITH {", ".join(parts)}
+SELECT (z + 1)::INT AS topic_id, term, round({prior} + sum(cnt * t * b / m), 4) + 0e0 AS weight FROM c JOIN m{last} USING (doc_id, w)
+JOIN th{last} USING (doc_id) JOIN beta USING (z, w) JOIN vocab USING (w) GROUP BY z, term"""
+
+
 def bin_of(v: str, lo: str, hi: str) -> str:
     return (
         f"CASE WHEN {hi} > {lo} THEN least(floor(({v} - {lo}) / ({hi} - {lo}) * {P.BINS})::INT, {P.BINS - 1}) "
@@ -261,6 +296,17 @@ def all_sql() -> dict[str, str]:
             s AS (SELECT slug, i, any_value(n) AS n, sum(x * x) - sum(x) * sum(x) / count(*) AS ss FROM v GROUP BY ALL)
             SELECT slug AS quadrant_slug, any_value(n) AS n, true AS centred, true AS uncorrelated,
             round(sum(ss), 3) AS sum_squares FROM s WHERE n >= 10 GROUP BY slug""",
+        "topics_step": _topics_step(),
+        "kmeans_step": f"""WITH {QPOINTS}, c AS (SELECT vec_id::INT AS cluster, embedding::DOUBLE[] AS centre FROM embeddings
+              WHERE vec_id < {P.N_CENTRES}),
+            a AS (SELECT vec_id, {slug('quadrant')} AS quadrant_slug, cluster, qp.embedding::DOUBLE[] AS e FROM qp, c WHERE quadrant IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(qp.embedding::DOUBLE[], centre), cluster) = 1),
+            u AS (SELECT quadrant_slug, cluster, unnest(e) AS x, unnest(range(len(e)))::INT AS i FROM a),
+            m AS (SELECT quadrant_slug, cluster, i, count(*) AS n, avg(x) AS v FROM u GROUP BY ALL),
+            g AS (SELECT quadrant_slug, cluster, unnest(centre) AS x, unnest(range(len(centre)))::INT AS i FROM c,
+              (SELECT DISTINCT quadrant_slug FROM a))
+            SELECT quadrant_slug, cluster, i, coalesce(n, 0) AS n, round(coalesce(v, x), 4) + 0e0 AS v
+            FROM g LEFT JOIN m USING (quadrant_slug, cluster, i)""",
         "kmeans_checks": f"""WITH {QPOINTS} SELECT {slug('quadrant')} AS quadrant_slug, count(*) AS n, 4::BIGINT AS n_clusters, 0::BIGINT AS n_away
             FROM qp WHERE quadrant IS NOT NULL GROUP BY quadrant HAVING count(*) > 4""",
         "sentiment_distribution": f"""WITH {SCORED}, l AS (SELECT ord::INT AS label_order, sentiment_label FROM

@@ -13,7 +13,7 @@ from narrascope.functions import text as tx
 from narrascope.functions import vectors as vx
 from narrascope.functions.sizing import materialize, scratch_path, small_table
 from narrascope.operators import answers as an
-from narrascope.operators import clusters, emotion, extremes, pca, stats, symbols, topics, views
+from narrascope.operators import clusters, emotion, extremes, pca, stats, symbols, topics, variational, views
 from narrascope.operators.embedding import embed, feature_hash_embed
 from narrascope.operators.sampling import sample_n
 from narrascope.plans.reports import emotion_report, semantic_map
@@ -556,7 +556,22 @@ def topic_summary(spark, sf_dir):
 
 
 def _topic_model(spark, sf_dir):
-    return topics.topics_fit(reports(spark, sf_dir), TEXT, stop_words=P.STOP_WORDS)
+    return variational.topics_fit_batch(reports(spark, sf_dir), TEXT, stop_words=P.STOP_WORDS)
+
+
+@query
+def topics_step(spark, sf_dir):
+    """One pass of the topic fit over all documents from given weights."""
+    d = reports(spark, sf_dir)
+    vocab = topics.vocabulary(d, TEXT, stop_words=P.STOP_WORDS, max_terms=P.STEP_TERMS)
+    terms = sorted(r["term"] for r in vocab.select("term").collect())
+    topic, term = np.indices((P.STEP_TOPICS, len(terms)))
+    start = 1.0 + (7 * term + 3 * topic) % 5
+    features = variational.count_features(d, TEXT, terms, stop_words=P.STOP_WORDS)
+    prior = 1 / P.STEP_TOPICS
+    weights, _ = variational.topics_step(features, start, prior, prior, P.STEP_INNER, 0.0)
+    rows = [(z + 1, t, float(w)) for z, row in enumerate(weights) for t, w in zip(terms, row)]
+    return small_table(spark, rows, "topic_id int, term string, weight double").withColumns(r4("weight"))
 
 
 @query
@@ -714,6 +729,19 @@ def pca_checks(spark, sf_dir):
     )
 
 
+@query
+def kmeans_step(spark, sf_dir):
+    """One iteration of the grouped fit from the same given centres in every quadrant."""
+    q = in_quadrants(spark, sf_dir).select(F.col("quadrant_slug").alias("grp"), F.col("embedding").alias("v"))
+    names = [r["grp"] for r in q.where("grp is not null").select("grp").distinct().collect()]
+    means, counts = clusters.lloyd_step(q, dict.fromkeys(names, _given_centres(spark, sf_dir)))
+    rows = [
+        (g, c, int(counts[g][c]), i, float(v))
+        for g in sorted(names) for c, mean in enumerate(means[g]) for i, v in enumerate(mean)
+    ]
+    return small_table(spark, rows, "quadrant_slug string, cluster int, n long, i int, v double").withColumns(r4("v"))
+
+
 @query
 def kmeans_checks(spark, sf_dir):
     """Rows and clusters per quadrant, and rows that lie nearer to another cluster's mean than to their own."""

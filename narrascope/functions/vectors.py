@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.nan_to_num(values, nan=0.0, posinf=FLOAT32_MAX, neginf=-FLOAT32_MAX)
 
 
+def group_rows(groups: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """(name, row numbers) of every group in a column; one sort, whatever the number of groups."""
+    encoded = groups.dictionary_encode()
+    codes = pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
+    for name, start, end in zip(encoded.dictionary.to_pylist(), bounds, bounds[1:]):
+        yield name, order[start:end]
+
+
 def _by_group(
     vectors: pa.Array, groups: pa.Array, width: int, known: Mapping[str, object], fn
 ) -> pa.Array:
@@ -89,11 +100,10 @@ def _by_group(
     out = np.zeros((len(vectors), width))
     valid = np.zeros(len(vectors), dtype=bool)
     usable = np.asarray(vectors.is_valid())
-    names = np.asarray(groups.to_pandas(), dtype=object)
-    for name, model in known.items():
-        rows = np.flatnonzero(usable & (names == name))
-        if rows.size:
-            out[rows] = fn(matrix(vectors.take(pa.array(rows))), model)
+    for name, rows in group_rows(groups):
+        rows = rows[usable[rows]]
+        if name in known and rows.size:
+            out[rows] = fn(matrix(vectors.take(pa.array(rows))), known[name])
             valid[rows] = True
     offsets = pa.array(np.append(np.arange(len(vectors)) * width, len(vectors) * width).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~valid))

@@ -147,3 +147,33 @@ def test_semantic_map(spark, sf_dir):
     assert {r["quadrant"] for r in rows} == names == set(found.local_models)
     for q in names:
         assert {r["cluster"] for r in rows if r["quadrant"] == q} == {0, 1, 2, 3}
+
+
+def test_a_thousand_groups_in_one_fit(spark):
+    """Two blobs in each of 1,000 groups and a big group with a third of the rows; no group lacks its clusters."""
+    df = spark.range(12_000).selectExpr(
+        "case when id % 3 = 0 then 'hot' else concat('g', id % 1000) end g", "cast(id div 1000 % 2 as int) side",
+        "array(cast(id div 1000 % 2 * 10 + (id % 7) * 0.01 as double), cast((id % 5) * 0.01 as double)) embedding",
+    )
+    out = clusters.kmeans_by(df, "g", k=2)
+    per_side = out.groupBy("g", "side").agg(F.countDistinct("cluster").alias("n"), F.min("cluster").alias("c"))
+    rows = per_side.collect()
+    assert len(rows) == 2 * 1001 and all(r["n"] == 1 and r["c"] is not None for r in rows)
+    assert len({(r["g"], r["c"]) for r in rows}) == 2 * 1001
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    df = spark.range(900).selectExpr(
+        "case when id % 4 = 0 then 'a' else 'b' end g", "array(sin(id), cos(id * 3), id % 11 / 5.0) embedding"
+    )
+    one = clusters.kmeans_fit_by(df.coalesce(1), "g", k=3)
+    many = clusters.kmeans_fit_by(df.repartition(20), "g", k=3)
+    assert one.keys() == many.keys() and all(np.allclose(one[g], many[g], atol=1e-9) for g in one)
+
+
+def test_seeds_follow_the_distance(spark):
+    """Copies of few vectors: every different vector is drawn once, then equal centres remain."""
+    df = spark.range(300).selectExpr("'x' grp", "array(cast(case when id < 290 then 0 else id % 2 + 1 end as double)) v")
+    drawn = clusters.seed_centres(df, ["x"], 4, 1)["x"].ravel().tolist()
+    assert sorted(set(drawn)) == [0.0, 1.0, 2.0] and len(drawn) == 4
+    assert clusters.seed_centres(df.limit(0), ["x"], 4, 1) == {}
