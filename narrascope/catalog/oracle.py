@@ -192,6 +192,13 @@ SELECT (z + 1)::INT AS topic_id, term, round({prior} + sum(cnt * t * b / m), 4)
 JOIN th{last} USING (doc_id) JOIN beta USING (z, w) JOIN vocab USING (w) GROUP BY z, term"""
 
 
+MANY = f"""tb AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({ALPHA}) AS term FROM documents)),
+tn AS (SELECT term, count(*) AS n_total FROM (SELECT unnest({ALPHA}) AS term FROM documents) GROUP BY term),
+kw AS (SELECT term AS keyword FROM tn JOIN (SELECT term FROM tb GROUP BY term HAVING count(*) >= 2) USING (term)
+  ORDER BY n_total DESC, term LIMIT {P.MANY_KEYWORDS}),
+found AS (SELECT doc_id, keyword FROM documents JOIN kw ON contains(lower(text), keyword))"""
+
+
 def bin_of(v: str, lo: str, hi: str) -> str:
     return (
         f"CASE WHEN {hi} > {lo} THEN least(floor(({v} - {lo}) / ({hi} - {lo}) * {P.BINS})::INT, {P.BINS - 1}) "
@@ -275,6 +282,9 @@ def all_sql() -> dict[str, str]:
             count(*) - count(DISTINCT clean) AS n_removed FROM cleaned""",
         "keyword_hits": f"""SELECT doc_id, {hits(P.NEGATIVE_KEYWORDS)} AS neg_hits,
             {hits(P.POSITIVE_KEYWORDS)} AS pos_hits FROM documents""",
+        "keyword_hits_many": f"""WITH {MANY} SELECT doc_id, count(*) AS n_hits, sum(length(keyword))::BIGINT AS letters
+            FROM found GROUP BY doc_id""",
+        "keyword_reports": f"WITH {MANY} SELECT keyword, count(*) AS n_reports FROM found GROUP BY keyword",
         "lexicon_score": f"WITH {VALENCE} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score FROM base",
         "hybrid_score": f"""WITH {SCORED} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score, neg_hits, pos_hits,
             round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label FROM scored""",

@@ -37,3 +37,4 @@ HUMAN = "m0"
 N_CENTRES = 4
 # One pass of the topic fit: the most frequent terms, topics, inner steps.
 STEP_TERMS, STEP_TOPICS, STEP_INNER = 30, 3, 2
+MANY_KEYWORDS = 5_000

@@ -15,6 +15,7 @@ from narrascope.functions.sizing import materialize, scratch_path, small_table
 from narrascope.operators import answers as an
 from narrascope.operators import clusters, emotion, extremes, pca, stats, symbols, topics, variational, views
 from narrascope.operators.embedding import embed, feature_hash_embed
+from narrascope.operators.keywords import keyword_counts, keyword_hits_many
 from narrascope.operators.sampling import sample_n
 from narrascope.plans.reports import emotion_report, semantic_map
 from narrascope.sinks.tables import (
@@ -464,6 +465,24 @@ def keyword_hits(spark, sf_dir):
     )
 
 
+def _many_hits(spark, sf_dir):
+    d = reports(spark, sf_dir)
+    terms = topics.vocabulary(d, TEXT, min_df=2, max_df=1.0, max_terms=P.MANY_KEYWORDS)
+    return keyword_hits_many(d, KEY, TEXT, terms, "term")
+
+
+@query
+def keyword_hits_many_query(spark, sf_dir):
+    """How many of 5,000 terms of the corpus a document contains, as substrings, and their letters."""
+    hits = _many_hits(spark, sf_dir).groupBy(KEY)
+    return hits.agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.length("keyword")).alias("letters"))
+
+
+@query
+def keyword_reports(spark, sf_dir):
+    return keyword_counts(_many_hits(spark, sf_dir))
+
+
 @query
 def lexicon_score(spark, sf_dir):
     s = emotion.lexicon_score(reports(spark, sf_dir), lexicon(spark), KEY, TEXT)
