@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
 from narrascope.functions.sizing import MAX_BROADCAST_BYTES, as_list, broadcast_if_small, materialize, small_table
+from narrascope.operators.phrases import BITS_PER_PHRASE, PhraseFilter
 from narrascope.operators.stats import drop_null_text, with_percent
 
 UNCATEGORIZED = "Uncategorized"
 NO_MATCH = "No match found"
-MAX_WORDS = 3
 # Up to this many symbols the dictionary travels inside the expression and matching is row-local;
-# beyond it, phrases are joined with the dictionary.
+# beyond it, phrases that pass a filter of the dictionary are joined with it.
 MAX_LITERAL_SYMBOLS = 5_000
 # Fixed value: a phrase that tokenising can produce: one to three tokens with one blank between.
 MATCHABLE = r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+){0,2}$"
@@ -65,19 +65,30 @@ def unmatchable_symbols(dictionary: DataFrame, **columns: str) -> DataFrame:
 
 @dataclass
 class SymbolIndex:
-    """Deduplicated matchable symbols; when they are few, `ranked` holds them on the driver too."""
+    """Deduplicated matchable symbols; when they are few, `ranked` holds them on the driver too.
+
+    When they are many, the table is stored, and a filter of its phrases is built on first use.
+    """
 
     table: DataFrame
     ranked: list[str] | None = None
     first_words: dict[int, list[str]] = field(default_factory=dict)
+    bits_per_phrase: float = BITS_PER_PHRASE
+    _filter: PhraseFilter | None = None
 
     @classmethod
-    def build(cls, dictionary: DataFrame, max_literal: int = MAX_LITERAL_SYMBOLS, **columns: str):
+    def build(
+        cls,
+        dictionary: DataFrame,
+        max_literal: int = MAX_LITERAL_SYMBOLS,
+        bits_per_phrase: float = BITS_PER_PHRASE,
+        **columns: str,
+    ):
         table = dedupe_symbols(dictionary, **columns).where("matchable")
         table = table.select("clean", "ord", "symbol", "meaning", "n_words")
         rows = table.limit(max_literal + 1).collect()
         if len(rows) > max_literal or sum(len(r["meaning"] or "") for r in rows) > MAX_BROADCAST_BYTES:
-            return cls(table)
+            return cls(materialize(table, "symbols"), bits_per_phrase=bits_per_phrase)
         rows.sort(key=lambda r: (-r["n_words"], r["ord"]))
         schema = "clean string, ord long, symbol string, meaning string, n_words int"
         table = small_table(dictionary.sparkSession, rows, schema)
@@ -95,6 +106,12 @@ class SymbolIndex:
         part = self.table.select(*columns)
         return broadcast_if_small(part) if self.ranked is None else F.broadcast(part)
 
+    def likely(self, reports: DataFrame, text_col: str) -> DataFrame:
+        """`reports` with `_likely`, the phrases that may be symbols; few of them are not."""
+        if self._filter is None:
+            self._filter = PhraseFilter.build(self.table, "clean", self.bits_per_phrase)
+        return self._filter.likely(reports, text_col, "_likely")
+
     def symbols(self) -> Column:
         """The matchable symbols as one constant array, most words first, then dictionary order."""
         if not self.ranked:
@@ -127,15 +144,10 @@ def _index(dictionary: DataFrame | SymbolIndex) -> SymbolIndex:
     return dictionary if isinstance(dictionary, SymbolIndex) else SymbolIndex.build(dictionary)
 
 
-def _phrase_table(reports: DataFrame, keys: Sequence[str], text_col: str, distinct: bool) -> DataFrame:
-    grams = tx.ngrams(tx.tokens(text_col), 1, MAX_WORDS)
-    return reports.select(*keys, F.explode(F.array_distinct(grams) if distinct else grams).alias("clean"))
-
-
 def _numbered(reports: DataFrame) -> DataFrame:
     """`reports` with a number of its own for every row, stored so that it stays the same.
 
-    Rows may share a key or have none; what is counted per report goes by this number.
+    Rows may share a key or have none; the best symbol of a report goes by this number.
     """
     return materialize(reports.withColumn("_row", F.monotonically_increasing_id()), "symbol-reports")
 
@@ -147,7 +159,8 @@ def symbol_hits(
     index, keys = _index(dictionary), as_list(key)
     reports = drop_null_text(reports, text_col)
     if index.ranked is None:
-        found = _phrase_table(reports, keys, text_col, distinct=True)
+        found = index.likely(reports.select(*keys, text_col), text_col)
+        found = found.select(*keys, F.explode(F.array_distinct("_likely")).alias("clean"))
     else:
         hits = F.array_intersect(index.symbols(), index.phrases(tx.tokens(text_col)))
         found = reports.select(*keys, F.explode(hits).alias("clean"))
@@ -161,13 +174,9 @@ def symbol_counts(
     index, keys = _index(dictionary), as_list(key)
     reports = drop_null_text(reports, text_col)
     if index.ranked is None:
-        return (
-            _phrase_table(_numbered(reports.select(*keys, text_col)), ["_row", *keys], text_col, distinct=False)
-            .join(index.columns("clean"), "clean", "left_semi")
-            .groupBy("_row", *keys, "clean")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-            .drop("_row")
-        )
+        found = index.likely(reports.select(*keys, text_col), text_col).select(*keys, F.inline(tx.bag("_likely")))
+        found = found.select(*keys, F.col("term").alias("clean"), "cnt")
+        return found.join(index.columns("clean"), "clean", "left_semi").select(*keys, "clean", "cnt")
     if not index.ranked:
         return reports.limit(0).select(*keys, F.lit("").alias("clean"), F.lit(0).cast("long").alias("cnt"))
     known = F.filter(index.phrases(tx.tokens(text_col)), lambda g: g.isin(*index.ranked))
@@ -184,17 +193,24 @@ def symbol_match(
     The best symbol has the most words; among equals the earlier dictionary entry wins. Reports
     without a symbol are kept, and rows that share a key are matched one by one. With a dictionary of
     up to `MAX_LITERAL_SYMBOLS` symbols the match is a row-local expression and the reports are not
-    shuffled; with a larger one they are numbered, and joined once with the best symbol of each.
+    shuffled. With a larger one, reports without a phrase that passes the filter are only read; the others
+    are numbered, stored, and joined once with the best symbol of each. As both parts are read from
+    `reports`, it has to give the same rows each time.
     """
     index = _index(dictionary)
     reports = drop_null_text(reports, text_col).withColumn("word_count", tx.word_count(text_col))
     if index.ranked is None:
-        reports = _numbered(reports)
-        hits = _phrase_table(reports, ["_row"], text_col, distinct=True)
+        told = index.likely(reports, text_col)
+        nothing = F.lit(None).cast("string")
+        none = told.where(F.size("_likely") == 0).drop("_likely")
+        none = none.withColumns({"matched_symbol": nothing, "interpretation": nothing})
+        some = _numbered(told.where(F.size("_likely") > 0))
+        hits = some.select("_row", F.explode(F.array_distinct("_likely")).alias("clean"))
         hits = hits.join(index.columns("clean", "ord", "n_words", "symbol", "meaning"), "clean")
         found = F.struct(F.col("symbol").alias("matched_symbol"), F.col("meaning").alias("interpretation"))
         best = hits.groupBy("_row").agg(F.min_by(found, F.struct(-F.col("n_words"), F.col("ord"))).alias("_best"))
-        matched = reports.join(best, "_row", "left").select("*", "_best.*").drop("_row", "_best")
+        some = some.join(best, "_row", "left").select("*", "_best.*").drop("_row", "_best", "_likely")
+        matched = none.unionByName(some)
     else:
         info = index.columns(
             F.col("clean").alias("_best"),

@@ -2,6 +2,7 @@ import pytest
 
 from narrascope.catalog import params as P
 from narrascope.operators import symbols
+from narrascope.operators.phrases import PhraseFilter
 from narrascope.plans.reports import symbol_report
 
 REPORTS = [
@@ -124,3 +125,58 @@ def test_rows_that_share_a_key_or_have_none(spark, max_literal):
     )
     counts = sorted((tuple(r) for r in symbols.symbol_counts(df, index, "k", "t").collect()), key=repr)
     assert counts == sorted([(1, "river", 1), (1, "dark forest", 1), (1, "river", 1), (None, "river", 1)], key=repr)
+
+
+def test_phrase_filter_misses_nothing(spark):
+    """Every phrase of the dictionary passes, wherever it stands; nearly nothing else does."""
+    own = spark.range(20_000).selectExpr("concat_ws(' ', 'a' || id, if(id % 3 > 0, 'b' || id, null), if(id % 3 > 1, 'c', null)) AS p")
+    other = spark.range(20_000).selectExpr("'x' || id || ' y' || id AS p")
+    told = PhraseFilter.build(own, "p")
+    texts = own.union(other).selectExpr("p", "'Zz, ' || p || '!' AS text")
+    rows = told.likely(texts, "text", "found").selectExpr("p", "array_contains(found, p) AS has", "size(found) AS n")
+    assert rows.where("p LIKE 'a%' AND NOT has").count() == 0
+    assert rows.where("p LIKE 'x%'").selectExpr("sum(n)").first()[0] < 2_000
+    assert told.n_bits == 1 << 18
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", "!?"], ["one two three four " * 3_000, "two", "three two one"]])
+def test_phrase_filter_on_odd_texts(spark, texts):
+    own = spark.createDataFrame([("two",), ("one two three",), ("four one two five",)], "p string")
+    told = PhraseFilter.build(own, "p")
+    rows = told.likely(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "found")
+    for r in rows.collect():
+        words = (r["text"] or "").split()
+        wanted = [" ".join(words[i : i + n]) for i in range(len(words)) for n in (1, 3) if i + n <= len(words)]
+        wanted = [w for w in wanted if w in ("two", "one two three")]
+        assert [f for f in r["found"] or [] if f in ("two", "one two three")] == wanted
+
+
+def test_phrase_filter_of_nothing(spark, tables):
+    index = symbols.SymbolIndex.build(tables[1].limit(0), max_literal=-1)
+    assert index.ranked is None
+    assert symbols.symbol_hits(tables[0], index, "id", "dream").count() == 0
+    matched = symbols.symbol_match(tables[0], index, "id", "dream").collect()
+    assert {r["matched_symbol"] for r in matched} == {"Uncategorized"} and len(matched) == 5
+
+
+@pytest.mark.parametrize("bits", [0.001, 12])
+def test_filter_of_any_size_gives_the_same_rows(spark, sf_dir, bits):
+    """A filter that lets nearly everything through costs time, not rows; repeated reports stay apart."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20"))
+    entries = spark.createDataFrame(P.DICTIONARY, "ord long, symbol string").selectExpr("*", "'m' || ord AS meaning")
+    small = symbols.SymbolIndex.build(entries)
+    large = symbols.SymbolIndex.build(entries, max_literal=0, bits_per_phrase=bits)
+    for operator in (symbols.symbol_hits, symbols.symbol_counts, symbols.symbol_match):
+        a, b = (operator(docs, index, "doc_id", "text") for index in (small, large))
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+
+
+def test_unlikely_reports_are_not_stored(spark, tables):
+    """Only reports with a phrase that passes are numbered, stored and joined."""
+    index = symbols.SymbolIndex.build(tables[1], max_literal=0)
+    many = tables[0].unionByName(spark.range(100, 5_000).selectExpr("id", "'quiet night ' || id AS dream", "'ann' AS author"))
+    matched = symbols.symbol_match(many, index, "id", "dream")
+    stored = [f for f in matched.inputFiles() if "symbol-reports" in f]
+    assert 0 < spark.read.parquet(*stored).count() < 200
+    assert matched.count() == 4_905
