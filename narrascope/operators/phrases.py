@@ -136,7 +136,8 @@ class PhraseFilter:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(tokens)))]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(inside))
 
-        return found(hashes)
+        # So marked, a later filter on the phrases does not run the function a second time.
+        return found.asNondeterministic()(hashes)
 
     def likely(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         """`df` with an array of the phrases of a text that may be in the dictionary, in text order.
@@ -146,9 +147,14 @@ class PhraseFilter:
         tokens = df.withColumn("_tokens", tx.tokens(text_col))
         coded = tokens.withColumn("_codes", self._codes(_token_hashes(F.col("_tokens"))))
 
-        def phrase(tokens: Column, code: Column) -> Column:
-            start = F.shiftright(code, _LENGTH_BITS) + 1
-            return F.array_join(F.slice(tokens, start, code.bitwiseAND((1 << _LENGTH_BITS) - 1)), " ")
+        def built(row: Column) -> Column:
+            length = (1 << _LENGTH_BITS) - 1
+            return F.transform(
+                row["codes"],
+                lambda c: F.array_join(
+                    F.slice(row["tokens"], F.shiftright(c, _LENGTH_BITS) + 1, c.bitwiseAND(length)), " "
+                ),
+            )
 
-        built = F.transform("_codes", lambda code: phrase(F.col("_tokens"), code))
-        return coded.withColumn(out, built).drop("_tokens", "_codes")
+        row = F.struct(F.col("_tokens").alias("tokens"), F.col("_codes").alias("codes"))
+        return coded.withColumn(out, tx.let(row, built)).drop("_tokens", "_codes")
