@@ -226,6 +226,8 @@ def all_sql() -> dict[str, str]:
         "dataset_ids": "SELECT DISTINCT split_part(source, '.', 1) AS dataset_id FROM documents",
         "scan_folder": """SELECT doc_id, CASE WHEN lang <> 'de' THEN lang END AS lang, text AS dream FROM documents""",
         "corpus_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "corpus_by_ranges": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "one_dataset": "SELECT doc_id, text, lang FROM documents",
         "one_quadrant": f"WITH {QPOINTS} SELECT vec_id, x, y, quadrant FROM qp WHERE quadrant = {q(Q[2])}",
         "emotion_facts": f"""WITH {SCORED} SELECT doc_id, text, source, round(sentiment_score, 4) + 0e0 AS sentiment_score,
             sentiment_label FROM scored JOIN documents USING (doc_id)""",

@@ -22,7 +22,7 @@ from narrascope.sinks.tables import (
     SYMBOL_SUMMARY_COLUMNS, write_axis_export, write_by_quadrant, write_corpus, write_facts_and_summary, write_scored,
 )
 from narrascope.sources.reports import (
-    distinct_ids, list_files, load_report, read_corpus, read_info, read_quadrant, scan_reports,
+    distinct_ids, list_files, load_report, read_corpus, read_delimited, read_info, read_quadrant, scan_reports,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,27 @@ def corpus_round_trip(spark, sf_dir):
     return back.withColumns({c: F.col(c).cast("long") for c in (KEY, "n_chars")})
 
 
+@query
+def corpus_by_ranges(spark, sf_dir):
+    """The same corpus, every file cut into ranges inside its quoted texts."""
+    path = scratch_path(spark, "corpus")
+    write_corpus(documents(spark, sf_dir), path, "csv")
+    back = read_corpus(spark, path, "csv", by_ranges=True)
+    return back.withColumns({c: F.col(c).cast("long") for c in (KEY, "n_chars")})
+
+
+@query
+def one_dataset(spark, sf_dir):
+    """The documents as one TSV data set; records with too many fields are left out."""
+    d = documents(spark, sf_dir, KEY, TEXT, "lang")
+    folder = scratch_path(spark, "dataset")
+    write_corpus(d, folder, "tsv")
+    too_long = d.select(F.concat_ws("\t", KEY, F.lit("a"), F.lit("b"), F.lit("c")).alias("value"))
+    too_long.write.mode("append").text(folder)
+    back = read_delimited(spark, folder, d.columns, skip_bad=True)
+    return back.withColumn(KEY, F.col(KEY).cast("long"))
+
+
 @query
 def one_quadrant(spark, sf_dir):
     """Write the points by quadrant and read one quadrant's folder."""

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from narrascope.functions.sizing import materialize, small_table
 from narrascope.operators.stats import union_by_name
+from narrascope.sources.ranges import read_records
 
 SOURCE_COLUMN = "source_filename"
 _CORRUPT = "_corrupt_record"
+_PATH = "_path"
 _HEADER_BYTES = 1 << 16
 
 # The texts that stand for a missing value.
@@ -42,9 +44,13 @@ def dataset_id(file_name: Column | str) -> Column:
     return F.split_part(name, F.lit("."), F.lit(1))
 
 
+def _plain_name(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _scanned_file() -> Column:
     """Plain name of the file a row comes from; the metadata column holds it URL-encoded."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return _plain_name(F.col("_metadata.file_name"))
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -140,28 +146,34 @@ def read_delimited(
     with_source: bool = False,
     missing: Sequence[str] = MISSING_TEXTS,
     skip_bad: bool = False,
+    by_ranges: bool = False,
 ) -> DataFrame:
     """Files with one common header as all-string columns.
 
     A record with too many fields is an error, or left out with `skip_bad`; a damaged file is always an
     error. Short records are padded with null, missing-value texts become null. `multi_line=False` lets big files be split into many tasks; use it where texts hold
-    no line breaks, because a file with quoted line breaks can only be read by one task.
+    no line breaks. A file with quoted line breaks is read by one task, or with `by_ranges` by many, if its
+    quotes are balanced and stand only around and, doubled, inside quoted fields (see `read_records`).
     """
     fields = [T.StructField(c, T.StringType()) for c in columns]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
-    df = (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("columnPruning", False)
-        .option("ignoreCorruptFiles", False)
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
+    options = {"sep": sep, "multiLine": multi_line, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options["columnNameOfCorruptRecord"] = _CORRUPT
+    if by_ranges:
+        names = ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema)
+        parsed = F.from_csv("record", names, {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
+        df = read_records(spark, paths).select(F.inline(F.array(parsed)), F.col("path").alias(_PATH))
+        source = F.element_at(F.split(_PATH, "/"), -1)
+    else:
+        df = (
+            spark.read.schema(schema)
+            .options(**options)
+            .option("header", True)
+            .option("columnPruning", False)
+            .option("ignoreCorruptFiles", False)
+            .csv(paths if isinstance(paths, str) else list(paths))
+        )
+        source = F.col("_metadata.file_name")
     raw = F.col(_CORRUPT)
     # The reader refuses queries that need the raw record alone (a count), so the filter also looks
     # at the first column.
@@ -175,7 +187,7 @@ def read_delimited(
         F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in columns
     ]
     if with_source:
-        out.append(_scanned_file().alias(SOURCE_COLUMN))
+        out.append(_plain_name(source).alias(SOURCE_COLUMN))
     return kept.select(*out)
 
 
@@ -184,14 +196,20 @@ def _header_columns(line: str, sep: str) -> list[str]:
 
 
 def read_reports(
-    spark: SparkSession, folder: str, dataset: str, multi_line: bool = True, skip_bad: bool = False
+    spark: SparkSession,
+    folder: str,
+    dataset: str,
+    multi_line: bool = True,
+    skip_bad: bool = False,
+    by_ranges: bool = False,
 ) -> DataFrame:
-    """One dataset: `<folder>/<dataset>.tsv`, all columns string; see `read_delimited` for `skip_bad`."""
+    """One dataset: `<folder>/<dataset>.tsv`, all columns string; see `read_delimited` for the choices."""
     header = read_headers(spark, folder, f"{dataset}.tsv").first()
     if header is None or header["header"] is None:
         raise ValueError(f"dataset {dataset!r}: {header['error'] if header else 'no such file'}")
+    columns = _header_columns(header["header"], "\t")
     return read_delimited(
-        spark, header["path"], _header_columns(header["header"], "\t"), multi_line=multi_line, skip_bad=skip_bad
+        spark, header["path"], columns, multi_line=multi_line, skip_bad=skip_bad, by_ranges=by_ranges
     )
 
 
@@ -263,15 +281,19 @@ def read_corpus(
     fmt: str = "parquet",
     columns: Sequence[str] | None = None,
     multi_line: bool = True,
+    by_ranges: bool = False,
 ) -> DataFrame:
-    """The combined corpus: Parquet, or one CSV layout with quoted multi-line texts."""
+    """The combined corpus: Parquet, or one CSV layout with quoted multi-line texts.
+
+    With `by_ranges`, one large CSV file is read by many tasks; see `read_delimited`.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}")
     if columns is None:
         columns = spark.read.option("header", True).option("escape", '"').csv(path).columns
-    return read_delimited(spark, path, columns, sep=",", multi_line=multi_line)
+    return read_delimited(spark, path, columns, sep=",", multi_line=multi_line, by_ranges=by_ranges)
 
 
 def read_quadrant(spark: SparkSession, base: str, slug: str | None = None) -> DataFrame:

@@ -186,3 +186,53 @@ def test_nothing_is_lost_without_a_word(spark, tmp_path):
         src.scan_reports(spark, str(d), "*.tsv.gz")
     corpus, failed = src.scan_reports(spark, str(d), "*.tsv.gz", skip_failed=True)
     assert corpus.count() == 50_000 and [r["file_name"] for r in failed.collect()] == ["cut.tsv.gz"]
+
+
+def _odd_records(n):
+    """Records with quoted line breaks, quotes, separators, white space, empty fields and very long texts."""
+    texts = ["plain", 'a "quoted"\nword', "\n\n", "x,y\tz", "", "ends with\n", '"', '""\n"', "é\r\nü", "long\n" * 300]
+    return [(str(i), texts[i % len(texts)] + str(i % 7) * (i % 3), str(i % 5)) for i in range(n)]
+
+
+@pytest.mark.parametrize("split", ["400", "128m"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_of_a_quoted_file(spark, tmp_path, split, end):
+    """Whatever the size of splits, every record comes back once and as the one-task reader gives it."""
+    import csv
+
+    with open(tmp_path / "corpus.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator=end).writerows([("n", "dream", "_path"), *_odd_records(60)])
+    conf = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ranged = src.read_corpus(spark, str(tmp_path), "csv", columns=["n", "dream", "age"], by_ranges=True)
+        whole = src.read_corpus(spark, str(tmp_path), "csv", columns=["n", "dream", "age"])
+        if split == "400":
+            assert src.read_records(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted(tuple(r) for r in ranged.collect())
+        assert got == sorted((n, t or None, a) for n, t, a in _odd_records(60))
+        if end == "\n":
+            assert got == sorted(tuple(r) for r in whole.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ranges_refuse_open_quotes(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('n,dream\n1,"never closed\n2,x\n')
+    with pytest.raises(ValueError, match="not closed"):
+        src.read_corpus(spark, str(tmp_path), "csv", columns=["n", "dream"], by_ranges=True)
+
+
+def test_ranges_of_a_folder(spark, folder):
+    args = dict(columns=["n", "dream"], with_source=True, skip_bad=True)
+    paths = [f"{folder}/alta.tsv", f"{folder}/dot with+space.tsv"]
+    a, b = (src.read_delimited(spark, paths, by_ranges=r, **args).collect() for r in (False, True))
+    assert len(a) == 6 and sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_ranges_of_an_empty_table(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("n,dream\n")
+    assert src.read_corpus(spark, str(tmp_path), "csv", columns=["n", "dream"], by_ranges=True).count() == 0
