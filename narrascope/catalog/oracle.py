@@ -295,6 +295,12 @@ def all_sql() -> dict[str, str]:
         "info_files": "SELECT source AS short_name, count(*) AS n_dreams FROM documents GROUP BY source",
         "symbol_tables": f"""WITH {SYMBOL_SUMMARY} SELECT matched_symbol, interpretation, dreams_count, dreamers_count, total_words,
             total_words AS words_in_facts FROM summary""",
+        "topic_tables": f"""WITH {KEYWORDS}, w AS (SELECT doc_id, source, {WORDS} AS word_count FROM documents)
+            SELECT topic_id, keywords, dreams_count, dreamers_count, total_words, total_words AS words_in_facts FROM keywords
+            JOIN (SELECT topic_id, count(*) AS dreams_count, count(DISTINCT source) AS dreamers_count,
+                sum(word_count)::BIGINT AS total_words FROM w JOIN topic USING (doc_id) GROUP BY topic_id) USING (topic_id)""",
+        "quadrant_results": f"""WITH {QPOINTS} SELECT vec_id, quadrant, {slug('quadrant')} AS quadrant_slug, x > y AS "right"
+            FROM qp WHERE quadrant IS NOT NULL""",
         "scored_table": f"""WITH {SCORED} SELECT doc_id, round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label
             FROM scored""",
         "axis_export_file": f"""WITH {EXTREMES} SELECT axis_id, pole,

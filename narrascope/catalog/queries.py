@@ -19,7 +19,8 @@ from narrascope.operators.keywords import keyword_counts, keyword_hits_many
 from narrascope.operators.sampling import sample_n
 from narrascope.plans.reports import emotion_report, semantic_map
 from narrascope.sinks.tables import (
-    SYMBOL_SUMMARY_COLUMNS, write_axis_export, write_by_quadrant, write_corpus, write_facts_and_summary, write_scored,
+    SYMBOL_SUMMARY_COLUMNS, TOPIC_SUMMARY_COLUMNS, write_axis_export, write_by_quadrant, write_corpus,
+    write_facts_and_summary, write_scored,
 )
 from narrascope.sources.reports import (
     distinct_ids, list_files, load_report, read_corpus, read_delimited, read_info, read_quadrant, scan_reports,
@@ -383,6 +384,38 @@ def symbol_tables(spark, sf_dir):
     ).join(facts, "matched_symbol")
 
 
+@query
+def topic_tables(spark, sf_dir):
+    """Facts and summary of given topics under their published names, read back and counted."""
+    d = documents(spark, sf_dir, KEY, TEXT, "source").withColumn("word_count", tx.word_count(TEXT))
+    facts = d.join(given_topics(spark, sf_dir), KEY)
+    keywords = topics.topic_keywords(topics.topic_top_words(topic_weights(spark, sf_dir)))
+    summary = topics.topic_summary(facts, stats.resolve_author_col(d)).join(keywords, "topic_id")
+    path = scratch_path(spark, "topics")
+    write_facts_and_summary(facts, summary, path, TOPIC_SUMMARY_COLUMNS)
+    words = spark.read.parquet(f"{path}/facts").groupBy("topic_id").agg(F.sum("word_count").alias("words_in_facts"))
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{path}/summary")
+    return back.select(
+        F.col("id").cast("int").alias("topic_id"),
+        F.col("Keywords").alias("keywords"),
+        F.col("how many dreams").cast("long").alias("dreams_count"),
+        F.col("how many dreamers").cast("long").alias("dreamers_count"),
+        F.col("how many words").cast("long").alias("total_words"),
+    ).join(words, "topic_id")
+
+
+@query
+def quadrant_results(spark, sf_dir):
+    """A result per point written per quadrant; one quadrant is written a second time; read back."""
+    rows = in_quadrants(spark, sf_dir).drop("quadrant_slug").select("vec_id", "quadrant", (F.col("x") > F.col("y")).alias("right"))
+    rows = materialize(rows, "quadrant-rows")
+    path = scratch_path(spark, "quadrant-results")
+    write_by_quadrant(rows, path)
+    slugs = [r["s"] for r in rows.select(tx.slug("quadrant").alias("s")).distinct().orderBy("s").collect()]
+    write_by_quadrant(rows.where(tx.slug("quadrant") == slugs[0]), path, mode="overwrite")
+    return read_quadrant(spark, path).select("vec_id", "quadrant", "quadrant_slug", "right")
+
+
 @query
 def scored_table(spark, sf_dir):
     """Scored reports, written and read back."""

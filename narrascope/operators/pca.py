@@ -1,8 +1,9 @@
 """Principal components of a vector column, for all rows or for every group in one pass.
 
-Each task reduces its rows to one row per group (count, sum, upper triangle of the Gram matrix), so
-what is shuffled depends on the number of tasks and groups and not on the number of rows. A group
-that holds most of the rows is no burden for one task.
+Each task reduces its rows to one row per group (count, mean, upper triangle of the centred cross
+products), so what is shuffled depends on the number of tasks and groups and not on the number of rows.
+A group that holds most of the rows is no burden for one task. Nothing is ever subtracted from a sum of
+squares, so means that are large against the spread cost no digits.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.functions.sizing import small_table
+from narrascope.functions.sizing import materialize, small_table
 from narrascope.functions.vectors import matrix, project
 
 _MERGE_SALTS = 32
 # A task hands its sums on when it holds this many groups, so that its memory stays bounded.
 _GROUPS_PER_FLUSH = 64
-_PARTIAL = "grp string, salt int, n long, stats array<double>"
+_PARTIAL = "grp string, salt int, n long, mean array<double>, cross array<double>"
+_CENTRED = "grp string, salt int, n long, centre array<double>, cross array<double>"
 _FITTED = (
     "grp string, n long, mean array<double>, loadings array<double>, "
     "variance array<double>, total_variance double"
@@ -43,64 +45,84 @@ class PcaModel:
     total_variance: float
 
 
-def _sum_rows(sums: dict[str, list]) -> Iterator[pa.RecordBatch]:
+def _partial_rows(moments: dict[str, list]) -> Iterator[pa.RecordBatch]:
     salt = TaskContext.get().partitionId() % _MERGE_SALTS
-    for name, (n, total, gram) in sums.items():
-        upper = gram[np.triu_indices(total.size)]
+    doubles = pa.list_(pa.float64())
+    for name, (n, mean, cross) in moments.items():
         yield pa.RecordBatch.from_pydict(
             {
                 "grp": pa.array([name], pa.string()),
                 "salt": pa.array([salt], pa.int32()),
                 "n": pa.array([n], pa.int64()),
-                "stats": pa.array([np.concatenate([total, upper])], pa.list_(pa.float64())),
+                "mean": pa.array([mean], doubles),
+                "cross": pa.array([cross[np.triu_indices(mean.size)]], doubles),
             }
         )
-    sums.clear()
+    moments.clear()
 
 
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, list] = {}
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    moments: dict[str, list] = {}
     for batch in batches:
         groups = np.asarray(batch.column(0).to_pandas(), dtype=object)
         vectors = batch.column(1)
         for name in set(groups.tolist()):
             rows = matrix(vectors.take(pa.array(np.flatnonzero(groups == name))))
-            s = sums.setdefault(name, [0, np.zeros(rows.shape[1]), np.zeros((rows.shape[1],) * 2)])
-            if rows.shape[1] != s[1].size:
+            m = moments.setdefault(name, [0, np.zeros(rows.shape[1]), np.zeros((rows.shape[1],) * 2)])
+            if rows.shape[1] != m[1].size:
                 raise ValueError("vectors of different lengths")
-            s[0] += len(rows)
-            s[1] += rows.sum(axis=0)
-            s[2] += rows.T @ rows
-            if len(sums) >= _GROUPS_PER_FLUSH:
-                yield from _sum_rows(sums)
-    yield from _sum_rows(sums)
-
-
-def _gram_sums(df: DataFrame, vector_col: str, group: str | None) -> DataFrame:
-    """(grp, n, stats) with one row per group; merged in two steps to keep every task small."""
+            mean = rows.mean(axis=0)
+            centred = rows - mean
+            n, step = m[0] + len(rows), mean - m[1]
+            m[2] += centred.T @ centred + np.outer(step, step) * (m[0] * len(rows) / n)
+            m[1] = m[1] + step * (len(rows) / n)
+            m[0] = n
+            if len(moments) >= _GROUPS_PER_FLUSH:
+                yield from _partial_rows(moments)
+    yield from _partial_rows(moments)
+
+
+def _recentred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cross products about the mean of the whole group in place of that of a task's part of it."""
+    for batch in batches:
+        cross = []
+        for k in range(len(batch)):  # one by one, as groups may have vectors of different lengths
+            mean, centre, own = (matrix(batch.column(c).slice(k, 1))[0] for c in ("mean", "centre", "cross"))
+            i, j = np.triu_indices(mean.size)
+            step = mean - centre
+            cross.append(own + batch.column("n")[k].as_py() * step[i] * step[j])
+        kept = [batch.column(c) for c in ("grp", "salt", "n", "centre")]
+        lists = pa.array(cross, pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*kept, lists], names=["grp", "salt", "n", "centre", "cross"])
+
+
+def _moments(df: DataFrame, vector_col: str, group: str | None) -> DataFrame:
+    """(grp, n, mean, cross) with one row per group; merged in two steps to keep every task small."""
     g = F.lit("") if group is None else F.col(group).cast("string")
     rows = df.select(g.alias("grp"), F.col(vector_col).alias("v")).where(
         F.col("grp").isNotNull() & F.col("v").isNotNull()
     )
-    partial = rows.mapInArrow(_partial_sums, _PARTIAL).withColumn("stats", array_to_vector("stats"))
-    salted = partial.groupBy("grp", "salt").agg(
-        F.sum("n").alias("n"), Summarizer.sum(F.col("stats")).alias("stats")
-    )
-    return (
-        salted.groupBy("grp")
-        .agg(F.sum("n").alias("n"), Summarizer.sum(F.col("stats")).alias("stats"))
-        .select("grp", "n", vector_to_array("stats").alias("stats"))
-    )
-
-
-def _unpack(n: int, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance of a group."""
-    d = int(round((np.sqrt(9 + 8 * stats.size) - 3) / 2))
-    mean = stats[:d] / n
-    gram = np.zeros((d, d))
-    gram[np.triu_indices(d)] = stats[d:]
-    gram = gram + np.triu(gram, 1).T
-    return mean, (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
+    partial = materialize(rows.mapInArrow(_partial_moments, _PARTIAL), "moments")
+    sums = Summarizer.sum(array_to_vector("mean"), F.col("n").cast("double")).alias("total")
+    salted = partial.groupBy("grp", "salt").agg(F.sum("n").alias("n"), sums)
+    whole = salted.groupBy("grp").agg(F.sum("n").alias("_n"), Summarizer.sum(F.col("total")).alias("total"))
+    centre = F.transform(vector_to_array("total"), lambda x: x / F.col("_n")).alias("centre")
+    # Per salt, so that the join spreads the parts of a large group.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_MERGE_SALTS - 1))).alias("salt")
+    centres = whole.select("grp", centre).select("grp", "centre", salts)
+    about = partial.join(centres, ["grp", "salt"]).select("grp", "salt", "n", "mean", "centre", "cross")
+    about = about.mapInArrow(_recentred, _CENTRED).withColumn("cross", array_to_vector("cross"))
+    added = (F.sum("n").alias("n"), F.first("centre").alias("centre"), Summarizer.sum(F.col("cross")).alias("cross"))
+    merged = about.groupBy("grp", "salt").agg(*added).groupBy("grp").agg(*added)
+    return merged.select("grp", "n", F.col("centre").alias("mean"), vector_to_array("cross").alias("cross"))
+
+
+def _covariance(row: dict) -> np.ndarray:
+    """Sample covariance of a group."""
+    d = len(row["mean"])
+    cross = np.zeros((d, d))
+    cross[np.triu_indices(d)] = row["cross"]
+    return (cross + np.triu(cross, 1).T) / max(row["n"] - 1, 1)
 
 
 def _eigen(k: int):
@@ -108,7 +130,7 @@ def _eigen(k: int):
         for batch in batches:
             out = {name: [] for name in ("grp", "n", "mean", "loadings", "variance", "total")}
             for row in batch.to_pylist():
-                mean, cov = _unpack(row["n"], np.asarray(row["stats"]))
+                mean, cov = np.asarray(row["mean"]), _covariance(row)
                 values, vectors = np.linalg.eigh(cov)
                 top = np.argsort(values)[::-1][: min(k, len(mean))]
                 loadings = vectors[:, top]
@@ -144,7 +166,7 @@ def pca_fit_by(
     task too; the driver receives the mean and k loadings of each group.
     """
     fitted = (
-        _gram_sums(df, vector_col, group)
+        _moments(df, vector_col, group)
         .where(F.col("n") >= min_rows)
         .mapInArrow(_eigen(k), _FITTED)
     )
@@ -210,12 +232,12 @@ def pca_variance(spark: SparkSession, models: dict[str, PcaModel]) -> DataFrame:
 
 
 def covariance(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """Entries (i, j, cov) of the sample covariance for i <= j, from the same partial sums."""
+    """Entries (i, j, cov) of the sample covariance for i <= j, from the same moments."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, cov = _unpack(row["n"], np.asarray(row["stats"]))
+                cov = _covariance(row)
                 i, j = np.triu_indices(len(cov))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -225,7 +247,7 @@ def covariance(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
                     }
                 )
 
-    return _gram_sums(df, vector_col, None).mapInArrow(entries, "i int, j int, cov double")
+    return _moments(df, vector_col, None).mapInArrow(entries, "i int, j int, cov double")
 
 
 

@@ -49,12 +49,19 @@ def write_corpus(
 def write_by_quadrant(
     df: DataFrame, path: str, quadrant_col: str = "quadrant", mode: str = "errorifexists"
 ) -> None:
-    """One folder per quadrant. Rows are written where they are: a quadrant with most of the rows is
-    written by many tasks. Points without a quadrant are left out."""
+    """One folder per quadrant, for points and for results per quadrant alike.
+
+    Rows are brought together by folder in parts of the advisory size of adaptive execution, so that a folder
+    has as many files as its size needs: small quadrants one, a quadrant with most of the rows many, each by a
+    task of its own. With mode `overwrite` only the folders of quadrants in `df` are replaced, so a run over
+    one quadrant can be repeated. Points without a quadrant are left out.
+    """
     named = df.where(F.col(quadrant_col).isNotNull()).withColumn(
         "quadrant_slug", tx.slug(quadrant_col)
     )
-    named.write.mode(mode).partitionBy("quadrant_slug").parquet(path)
+    spread = named.hint("rebalance", "quadrant_slug")
+    writer = spread.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("quadrant_slug").parquet(path)
 
 
 def renamed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

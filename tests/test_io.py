@@ -236,3 +236,16 @@ def test_ranges_of_a_folder(spark, folder):
 def test_ranges_of_an_empty_table(spark, tmp_path):
     (tmp_path / "none.csv").write_text("n,dream\n")
     assert src.read_corpus(spark, str(tmp_path), "csv", columns=["n", "dream"], by_ranges=True).count() == 0
+
+
+def test_quadrant_folders_have_few_files_and_can_be_written_again(spark, tmp_path):
+    rows = spark.range(0, 9_000, 1, 30).selectExpr("id", "if(id % 3 = 0, 'Dramatic + Social', if(id % 3 = 1, 'Mild', null)) AS quadrant")
+    path = str(tmp_path / "q")
+    sinks.write_by_quadrant(rows, path)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "q").iterdir() if d.is_dir()}
+    assert set(files) == {"quadrant_slug=dramatic_plus_social", "quadrant_slug=mild"} and max(files.values()) <= 2
+    sinks.write_by_quadrant(rows.where("quadrant = 'Mild' AND id < 300"), path, mode="overwrite")
+    counts = {r["quadrant_slug"]: r["count"] for r in src.read_quadrant(spark, path).groupBy("quadrant_slug").count().collect()}
+    assert counts == {"dramatic_plus_social": 3_000, "mild": 100}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_by_quadrant(rows, path)

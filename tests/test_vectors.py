@@ -177,3 +177,26 @@ def test_seeds_follow_the_distance(spark):
     drawn = clusters.seed_centres(df, ["x"], 4, 1)["x"].ravel().tolist()
     assert sorted(set(drawn)) == [0.0, 1.0, 2.0] and len(drawn) == 4
     assert clusters.seed_centres(df.limit(0), ["x"], 4, 1) == {}
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_large_means_cost_no_digits(spark, parts):
+    """Vectors shifted by far more than their spread have the same components and shares."""
+    cloud = np.random.default_rng(5).normal(size=(3_000, 4)) @ np.diag([3.0, 2.0, 1.0, 0.5])
+    # Whole multiples of a power of two, so that the shift itself is exact.
+    cloud = np.round(cloud * 1024) / 1024
+    rows = [(i, "a" if i % 3 else "b", v.tolist()) for i, v in enumerate(cloud)]
+    df = spark.createDataFrame(rows, "id long, g string, embedding array<double>").repartition(parts)
+    far = df.withColumn("embedding", F.transform("embedding", lambda x: x + 2.0**23))
+    for near_model, far_model in zip(*(sorted(pca.pca_fit_by(d, "g", 4).items()) for d in (df, far))):
+        (g, a), (h, b) = near_model, far_model
+        assert g == h and a.n == b.n == {"a": 2_000, "b": 1_000}[g]
+        np.testing.assert_allclose(b.ratio, a.ratio, rtol=1e-9)
+        np.testing.assert_allclose(b.loadings, a.loadings, atol=1e-9)
+        np.testing.assert_allclose(b.mean - 2.0**23, a.mean, atol=1e-7)
+
+
+def test_groups_with_vectors_of_different_lengths(spark):
+    rows = [("a", [float(i), float(i % 3)]) for i in range(40)] + [("b", [float(i % 5), float(i), 1.0]) for i in range(40)]
+    models = pca.pca_fit_by(spark.createDataFrame(rows, "g string, embedding array<double>"), "g", 1)
+    assert {g: m.mean.size for g, m in models.items()} == {"a": 2, "b": 3}
