@@ -103,6 +103,25 @@ VALENCE = f"""lex AS (SELECT * FROM {values(P.LEXICON, 'word, valence')}),
 sums AS (SELECT t.doc_id, round(coalesce(sum(valence), 0e0), 6) AS s FROM
   (SELECT doc_id, unnest({SPLIT}) AS word FROM documents) t LEFT JOIN lex USING (word) GROUP BY t.doc_id),
 base AS (SELECT doc_id, s / sqrt(s * s + 15e0) AS base_score FROM sums)"""
+RULED = f"""lex AS (SELECT * FROM {values(P.LEXICON, 'word, valence')}),
+rules AS (SELECT * FROM {values(P.RULES, 'word, kind, step')}),
+split AS (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')
+  FOR y IN regexp_split_to_array(text, '{WHITESPACE}')] IF x <> ''] AS ws FROM documents),
+one AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+low AS (SELECT doc_id, i, lower(w) AS l,
+  regexp_full_match(w, '[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*') AND length(w) > 1 AS loud FROM one),
+known AS (SELECT doc_id, i, coalesce(valence, 0)::DOUBLE AS v, CASE WHEN kind = 'booster' THEN step ELSE 0 END::DOUBLE AS b,
+  coalesce(kind = 'negation', false) AS neg, coalesce(kind = 'contrast', false) AS con,
+  loud AND NOT bool_and(loud) OVER (PARTITION BY doc_id) AS up
+  FROM low LEFT JOIN lex ON lex.word = l LEFT JOIN rules ON rules.word = l),
+moved AS (SELECT doc_id, i, v + sign(v) * (CASE WHEN up THEN 0.733e0 ELSE 0e0 END + coalesce(lag(b, 1) OVER o, 0e0)
+    + 0.95e0 * coalesce(lag(b, 2) OVER o, 0e0) + 0.9e0 * coalesce(lag(b, 3) OVER o, 0e0)) AS x,
+  coalesce(bool_or(neg) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS turned,
+  min(CASE WHEN con THEN i END) OVER (PARTITION BY doc_id) AS c FROM known WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sums AS (SELECT doc_id, round(sum(x * CASE WHEN turned THEN -0.74e0 ELSE 1e0 END
+  * CASE WHEN c IS NULL OR i = c THEN 1e0 WHEN i < c THEN 0.5e0 ELSE 1.5e0 END), 6) AS s FROM moved GROUP BY doc_id),
+marked AS (SELECT doc_id, coalesce(s, 0e0) + sign(coalesce(s, 0e0)) * 0.292e0
+  * least(4, length(text) - length(replace(text, '!', ''))) AS s FROM documents LEFT JOIN sums USING (doc_id))"""
 SCORED = f"""{VALENCE},
 hit AS (SELECT doc_id, {hits(P.NEGATIVE_KEYWORDS)} AS neg_hits, {hits(P.POSITIVE_KEYWORDS)} AS pos_hits FROM documents),
 moved AS (SELECT *, greatest(-1e0, least(1e0, base_score + (pos_hits * 0.15::DOUBLE - neg_hits * 0.15::DOUBLE)))
@@ -287,6 +306,7 @@ def all_sql() -> dict[str, str]:
         "keyword_hits_many": f"""WITH {MANY} SELECT doc_id, count(*) AS n_hits, sum(length(keyword))::BIGINT AS letters
             FROM found GROUP BY doc_id""",
         "keyword_reports": f"WITH {MANY} SELECT keyword, count(*) AS n_reports FROM found GROUP BY keyword",
+        "ruled_score": f"WITH {RULED} SELECT doc_id, round(s / sqrt(s * s + 15e0), 4) + 0e0 AS base_score FROM marked",
         "lexicon_score": f"WITH {VALENCE} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score FROM base",
         "hybrid_score": f"""WITH {SCORED} SELECT doc_id, round(base_score, 4) + 0e0 AS base_score, neg_hits, pos_hits,
             round(sentiment_score, 4) + 0e0 AS sentiment_score, sentiment_label FROM scored""",

@@ -13,6 +13,11 @@ LEXICON = (
     ("are", -0.9), ("from", 0.5), ("der", -1.1), ("die", -1.3), ("que", 0.7), ("des", -0.4),
     ("les", 0.9), ("und", 0.3),
 )
+# (word, kind, step)
+RULES = (
+    ("the", "booster", 0.293), ("of", "booster", -0.293), ("in", "negation", 0.0), ("zu", "negation", 0.0),
+    ("par", "negation", 0.0), ("to", "contrast", 0.0), ("el", "contrast", 0.0), ("le", "booster", 0.293),
+)
 POSITIVE_KEYWORDS = ("with", "this", "les")
 NEGATIVE_KEYWORDS = ("that", "der", "que")
 

@@ -543,6 +543,14 @@ def lexicon_score(spark, sf_dir):
     return s.select(KEY, F.round("base_score", 4).alias("base_score"))
 
 
+@query
+def ruled_score(spark, sf_dir):
+    """Base score with boosters, negations, contrast words, capitals and exclamation marks."""
+    rules = small_table(spark, P.RULES, "word string, kind string, step double")
+    s = emotion.lexicon_score(reports(spark, sf_dir), lexicon(spark), KEY, TEXT, rules=rules)
+    return s.select(KEY, F.round("base_score", 4).alias("base_score"))
+
+
 @query
 def hybrid_score(spark, sf_dir):
     return scored(spark, sf_dir).select(

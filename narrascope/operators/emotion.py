@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
 from narrascope.functions.sizing import MAX_BROADCAST_ROWS, as_list, small_table
+from narrascope.operators.rules import ruled_sum
 from narrascope.operators.stats import drop_null_text, with_percent
 
 # Keywords that lower the score.
@@ -113,26 +114,47 @@ def valence_sum(words: Column, lexicon: DataFrame) -> Column:
     return F.round(total(words), 6)
 
 
+def _base_sum(text_col: str, lexicon: DataFrame, rules: DataFrame | None) -> Column:
+    if rules is None:
+        return valence_sum(tx.tokens(text_col), lexicon)
+    return ruled_sum(text_col, *_valence_of(lexicon), rules)
+
+
 def _normalised(total: Column) -> Column:
     return total / F.sqrt(total * total + F.lit(NORMALISER))
 
 
 def lexicon_score(
-    reports: DataFrame, lexicon: DataFrame, key: str | Sequence[str], text_col: str, keep: Sequence[str] = ()
+    reports: DataFrame,
+    lexicon: DataFrame,
+    key: str | Sequence[str],
+    text_col: str,
+    keep: Sequence[str] = (),
+    rules: DataFrame | None = None,
 ) -> DataFrame:
-    """Base score in (-1, 1) from a (word, valence) table; a report without known words scores 0."""
+    """Base score in (-1, 1) from a (word, valence) table; a report without known words scores 0.
+
+    With a (word, kind, step) table of `rules`, the words around count too; see `ruled_sum`.
+    """
     rows = drop_null_text(reports, text_col)
-    sums = rows.select(*as_list(key), *keep, valence_sum(tx.tokens(text_col), lexicon).alias("valence_sum"))
+    sums = rows.select(*as_list(key), *keep, _base_sum(text_col, lexicon, rules).alias("valence_sum"))
     return sums.withColumn("base_score", _normalised(F.col("valence_sum")))
 
 
-def _with_scores(reports: DataFrame, lexicon: DataFrame, text_col: str, neg: Sequence[str], pos: Sequence[str]) -> DataFrame:
+def _with_scores(
+    reports: DataFrame,
+    lexicon: DataFrame,
+    text_col: str,
+    neg: Sequence[str],
+    pos: Sequence[str],
+    rules: DataFrame | None = None,
+) -> DataFrame:
     """All columns with hits, scores and label, row by row."""
     scored = drop_null_text(reports, text_col).withColumns(
         {
             "neg_hits": keyword_count(text_col, neg),
             "pos_hits": keyword_count(text_col, pos),
-            "valence_sum": valence_sum(tx.tokens(text_col), lexicon),
+            "valence_sum": _base_sum(text_col, lexicon, rules),
         }
     )
     scored = scored.withColumn("base_score", _normalised(F.col("valence_sum")))
@@ -148,9 +170,10 @@ def hybrid_score(
     neg: Sequence[str] = NIGHTMARE_KEYWORDS,
     pos: Sequence[str] = BLISS_KEYWORDS,
     keep: Sequence[str] = (),
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """(key, keep..., base_score, hits, sentiment_score, sentiment_label), row by row without a shuffle."""
-    scored = _with_scores(reports, lexicon, text_col, neg, pos)
+    scored = _with_scores(reports, lexicon, text_col, neg, pos, rules)
     names = ("neg_hits", "pos_hits", "valence_sum", "base_score", "sentiment_score", "sentiment_label")
     return scored.select(*as_list(key), *keep, *names)
 

@@ -99,3 +99,56 @@ def test_no_label_without_a_score(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (0.3,)], "s double")
     got = [r[0] for r in df.select(emotion.sentiment_label("s")).collect()]
     assert got == [None, None, emotion.BLISSFUL]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("good", 2.0),
+        ("very good", 2.3),
+        ("very, x good", 2 + 0.3 * 0.95),
+        ("very x y good", 2 + 0.3 * 0.9),
+        ("very x y z good", 2.0),
+        ("very bad", -2.8),
+        ("hardly bad", -2.3),
+        ("not good", -1.48),
+        ("NOT very good.", -0.74 * 2.3),
+        ("x GOOD", 2.733),
+        ("GOOD", 2.0),  # everything is capitalised, so nothing stands out
+        ("x BAD", -3.233),
+        ("good but bad", 1 - 3.75),
+        ("but good but bad", 3 - 3.75),
+        ("good!!", 2.584),
+        ("bad!!!!!!", -2.5 - 4 * 0.292),
+        ("nothing!!", 0.0),
+        ("", 0.0),
+        ("... !", 0.0),
+        ("good " * 5_000, 10_000.0),
+    ],
+)
+def test_rules(spark, text, want):
+    lexicon = [("good", 2.0), ("Bad", -2.5)]
+    rules = [("very", "booster", 0.3), ("hardly", "booster", -0.2), ("not", "negation", None), ("but", "contrast", None)]
+    got = emotion.lexicon_score(
+        spark.createDataFrame([(1, text), (2, "good not"), (3, None)], "id int, t string"),
+        spark.createDataFrame(lexicon, "word string, valence double"),
+        "id",
+        "t",
+        rules=spark.createDataFrame(rules, "word string, kind string, step double"),
+    ).collect()
+    sums = {r["id"]: r["valence_sum"] for r in got}
+    assert sums == {1: pytest.approx(want, abs=1e-6), 2: 2.0}
+
+
+def test_rules_of_unknown_kind(spark, scored_inputs):
+    rules = spark.createDataFrame([("x", "other", 1.0)], "word string, kind string, step double")
+    with pytest.raises(ValueError, match="unknown kind"):
+        emotion.lexicon_score(*scored_inputs, key="id", text_col="dream", rules=rules)
+
+
+def test_rules_on_no_reports(spark, scored_inputs):
+    reports, lexicon = scored_inputs
+    rules = spark.createDataFrame([], "word string, kind string, step double")
+    assert emotion.lexicon_score(reports.limit(0), lexicon, "id", "dream", rules=rules).count() == 0
+    a, b = (emotion.lexicon_score(reports, lexicon, "id", "dream", rules=r).collect() for r in (None, rules))
+    assert sorted(a) == sorted(b)
