@@ -79,27 +79,34 @@ def log_weight(counts: np.ndarray, totals: tuple[int, int], found: np.ndarray, t
     return float((times * np.log((aim + prior) / (raw * share + prior))).sum())
 
 
-def kth_largest(keys: DataFrame, k: int, limit: int = SELECT_ROWS) -> float:
-    """The k-th largest value of column `key`, exactly, by counting in ever narrower ranges."""
+def kth_largest(keys: DataFrame, k: int, limit: int = SELECT_ROWS, weight: str | None = None) -> float:
+    """The k-th largest value of column `key`, exactly, by counting in ever narrower ranges.
+
+    With a column `weight` a row stands for so many equal ones.
+    """
     if k <= 0:
         return float("inf")
-    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
-    if n <= k:
+    keys = keys.where("key is not null").select("key", (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    size = [F.count("key").alias("n_rows"), F.sum("w").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")]
+    n_rows, n, low, high = keys.agg(*size).first()
+    if (n or 0) <= k:
         return float("-inf")
     above = 0
     while True:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
         if low == high:
             return low
-        if n <= limit:
-            found = sorted((r["key"] for r in inside.select("key").collect()), reverse=True)
-            return found[k - above - 1]
+        if n_rows <= limit:
+            for r in sorted(inside.collect(), reverse=True):
+                above += r["w"]
+                if above >= k:
+                    return r["key"]
         width = (high - low) / 1024
         cell = F.least(F.floor((F.col("key") - low) / width), F.lit(1023))
-        cells = inside.groupBy(cell.alias("cell")).agg(F.count("key").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        cells = inside.groupBy(cell.alias("cell")).agg(*size)
         for r in cells.orderBy(F.desc("cell")).collect():
             if above + r["n"] >= k:
-                low, high, n = r["low"], r["high"], r["n"]
+                low, high, n_rows = r["low"], r["high"], r["n_rows"]
                 break
             above += r["n"]
 

@@ -6,13 +6,15 @@ written-out addresses, IPv6. Each generator has its own check, and only a propos
 added. The trees judge format and context and know nothing of the checks: positives are checked finds, and
 the same finds written in another way (an address with [at], an IPv6 address); negatives are proposals that
 fail their check, and finds put into a context or a format that is none of their kind. Proposals that
-pass but are no finds are scored. A held-out part of the sample sets a threshold per kind, by an exact
-bound on the share of negatives that it lets through.
+pass but are no finds are scored. The trees learn from all examples of their part, and all of the held-out
+part set a threshold per kind, by an exact bound on the share of negatives that it lets through. Examples
+with the same features are one row with their number as its weight.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,14 +28,17 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.sizing import broadcast_if_small
 from narrascope.llm.common import ship, stored, working_on
+from narrascope.llm.importance import kth_largest
 from narrascope.llm.quality_rules import binomial_tail
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled proposals used for training and thresholds together, and the share of the second.
-SAMPLE, HELD_OUT = 20_000, 0.3
+#: Share of the labelled proposals that set the thresholds; all others train.
+HELD_OUT = 0.3
 #: Share of negatives that a threshold may let through, and the chance that the held-out ones understate it.
 MAX_FALSE, DOUBT = 0.02, 0.05
 TREES, DEPTH = 20, 4
+#: Bins of a feature, and the rows beyond which MLlib would choose their borders by a sample.
+BINS, BIN_ROWS = 32, 10_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Fixed patterns; possessive where a shorter match can never succeed, so that long runs stay linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -248,50 +253,57 @@ def _proposed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return wanted.mapInArrow(run, schema + f"found array<struct<{span},label:long,features:array<double>>>")
 
 
-def _thresholds(held: list, max_false: float) -> dict[int, float]:
+def _examples(found: DataFrame) -> DataFrame:
+    """kind, label, features, held (sets the thresholds), n: all labelled proposals, alike ones in one row."""
+    # All examples made from one find are on the same side of the split.
+    draw = F.pmod(F.xxhash64("row", "start", F.lit(7)), F.lit(1_000_000)) / 1e6
+    labelled = found.where("label is not null").withColumn("held", draw < HELD_OUT)
+    return labelled.groupBy("kind", "label", "features", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _thresholds(held: DataFrame, max_false: float) -> dict[int, float]:
     """Per kind the lowest score that is known to let through at most `max_false` of the negatives.
 
-    So many held-out negatives may reach it that "more than `max_false` do" falls at level `DOUBT` by the
-    exact binomial test; with too few negatives even none says nothing, and the kind gets no threshold.
+    `held` has kind, label, score and n, the number of held-out examples. So many negatives may reach the
+    score that "more than `max_false` do" falls at level `DOUBT` by the exact binomial test; with too few
+    negatives even none says nothing, and the kind gets no threshold.
     """
+    sizes = {(r["kind"], r["label"]): r["n"] for r in held.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
     out = {}
     for kind in range(4):
-        scores = {v: np.sort([r["score"] for r in held if r["kind"] == kind and r["label"] == v])[::-1] for v in (0, 1)}
-        n = len(scores[0])
-        allowed = int((binomial_tail(np.arange(n), n, max_false) <= DOUBT).sum()) if n else 0
-        if allowed and len(scores[1]):
+        n = sizes.get((kind, 0), 0)
+        # The test cannot fall this low beyond the mean.
+        counts = np.arange(min(n, math.ceil(n * max_false) + 1))
+        allowed = int((binomial_tail(counts, n, max_false) <= DOUBT).sum()) if n else 0
+        if allowed and sizes.get((kind, 1)):
+            negatives = held.where((F.col("kind") == kind) & (F.col("label") == 0))
             # Of the sorted negatives, those before this one may reach the threshold.
-            out[kind] = float(np.nextafter(scores[0][allowed - 1], 2))
+            last = kth_largest(negatives.select(F.col("score").alias("key"), "n"), allowed, weight="n")
+            out[kind] = float(np.nextafter(last, 2))
     return out
 
 
-def find(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, max_false: float = MAX_FALSE
-) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_false: float = MAX_FALSE) -> DataFrame:
     """Per document: doc_id, text_key, `base` spans and all `spans`, each an array of (start, kind, end) in order.
 
     Offsets are code points, end exclusive; kinds are numbers in the order of `KINDS`. One pass over the
-    texts; after that only spans and their features move. At most about `sample` labelled proposals,
-    chosen by a hash, train the trees (a documented bound); all proposals that pass their check and do not
-    overlap a find are scored. Kinds with too few held-out negatives for the bound, as in small or empty
+    texts; after that only spans and their features move. All labelled proposals train the trees or set the
+    thresholds, as a hash says; all proposals that pass their check and do not overlap a find are scored. Kinds with too few held-out negatives for the bound, as in small or empty
     tables, add nothing. A null or empty text has no spans; repeated rows give one row each.
     """
     rows = stored(_proposed(docs, id_col, text_col), "pii-proposals")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    # All examples made from one find are on the same side of the split.
-    draw = F.pmod(F.xxhash64("row", "start", F.lit(7)), F.lit(1_000_000)) / 1e6
-    labelled = found.where("label is not null").withColumn("draw", draw)
-    total = labelled.count()
-    known = stored(labelled.where(F.col("draw") < sample / max(1, total)), "pii-sample")
-    split = sample / max(1, total) * HELD_OUT if total > sample else HELD_OUT
-    ready = known.select("kind", "label", "draw", array_to_vector("features").alias("v"))
+    known = stored(_examples(found), "pii-examples").withColumn("v", array_to_vector("features"))
     limits: dict[int, float] = {}
-    training = ready.where(F.col("draw") >= split)
-    if training.select("label").distinct().count() == 2:
-        model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(training)
-        score = vector_to_array("probability")[1].alias("score")
-        held = model.transform(ready.where(F.col("draw") < split)).select("kind", "label", score).collect()
-        limits = _thresholds(held, max_false)
+    training = known.where("not held")
+    n_rows, n_labels = training.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if n_labels == 2:
+        # MLlib looks at all rows for the borders of bins up to the square of their number.
+        bins = BINS if n_rows <= BIN_ROWS else math.isqrt(n_rows) + 1
+        trees = GBTClassifier(featuresCol="v", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=1)
+        model = trees.fit(training.select("v", "label", "n"))
+        scores = model.transform(known.where("held")).withColumn("score", vector_to_array("probability")[1])
+        limits = _thresholds(stored(scores.groupBy("kind", "label", "score").agg(F.sum("n").alias("n")), "pii-scores"), max_false)
     if not limits:
         return rows.select("doc_id", "text_key", "base", F.col("base").alias("spans"))
     # Only proposals apart from the finds can be added; spoilt copies lie on them and are left out.
