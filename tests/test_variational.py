@@ -89,3 +89,41 @@ def test_no_reports_and_no_terms(spark):
     assert weights.tolist() == [[0.5], [0.5]]
     with pytest.raises(ValueError):
         vb.topics_fit_batch(empty, "t", k=2)
+
+
+@pytest.mark.parametrize("sharp", [0.01, 100.0])
+def test_topics_at_the_prior_change_nothing(sharp):
+    """Parameters of every report against plain loops over all topics; most are soon left out of the products."""
+    rng = np.random.default_rng(4)
+    k, n_terms, prior = 100, 300, 0.01
+    job = vb._Inference(np.exp(vb.expected_log(rng.gamma(sharp, 1 / sharp, (k, n_terms)) + 0.01)).T.copy(), prior, 100, 1e-3)
+    ids = [np.sort(rng.choice(n_terms, size, replace=False)) for size in (*rng.integers(30, 41, 80), 0)]
+    counts = [rng.integers(1, 9, len(i)).astype(float) for i in ids]
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+    seen, cells = 0, 0
+    plain_matmul = np.matmul
+
+    def counted(a, b):
+        nonlocal cells
+        cells += max(a.size, b.size)
+        return plain_matmul(a, b)
+
+    wanted, plain_cells = {}, 0
+    for i, (at, cnt) in enumerate(zip(ids, counts)):
+        gamma = np.ones(k)
+        for _ in range(100 if len(at) else 0):
+            theta = np.exp(vb.digamma(gamma))
+            new = prior + theta * ((cnt / (job.beta[at] @ theta)) @ job.beta[at])
+            plain_cells += 2 * len(at) * k
+            gamma, change = new, np.abs(new - gamma).mean()
+            if change <= 1e-3:
+                break
+        wanted[i] = gamma
+    vb.np.matmul = counted
+    try:
+        for rows, _, _, gamma in job.blocks(offsets, np.concatenate(ids), np.concatenate(counts)):
+            seen += len(rows)
+            assert np.allclose(gamma, [wanted[r] for r in rows], rtol=1e-8)
+    finally:
+        vb.np.matmul = plain_matmul
+    assert seen == len(ids) - 1 and (sharp < 1 or cells < 0.8 * plain_cells)
