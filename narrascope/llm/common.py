@@ -16,11 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.functions.sizing import scratch_path
+from narrascope.functions.sizing import scratch_path, short_batches
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch, unless the session sets another number.
-BATCH_ROWS, _BATCH = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one step inside an Arrow batch, so that arrays over all words of a step stay small.
 STEP_ROWS = 256
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -28,9 +26,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, so that caches live in the workers."""
-    # Texts may be long, so a batch of them has fewer rows than Spark's default, which is for narrow rows.
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    short_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as tx
-from narrascope.functions.sizing import MAX_BROADCAST_ROWS, as_list, small_table
+from narrascope.functions.sizing import MAX_BROADCAST_ROWS, as_list, short_batches, small_table
 from narrascope.operators.rules import ruled_sum
 from narrascope.operators.stats import drop_null_text, with_percent
 
@@ -115,6 +115,7 @@ def valence_sum(words: Column, lexicon: DataFrame) -> Column:
 
 
 def _base_sum(text_col: str, lexicon: DataFrame, rules: DataFrame | None) -> Column:
+    short_batches(lexicon.sparkSession)
     if rules is None:
         return valence_sum(tx.tokens(text_col), lexicon)
     return ruled_sum(text_col, *_valence_of(lexicon), rules)

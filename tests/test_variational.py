@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from narrascope.operators import emotion
 from narrascope.operators import variational as vb
 
 VOCABULARIES = (
@@ -127,3 +128,18 @@ def test_topics_at_the_prior_change_nothing(sharp):
     finally:
         vb.np.matmul = plain_matmul
     assert seen == len(ids) - 1 and (sharp < 1 or cells < 0.8 * plain_cells)
+
+
+def test_texts_travel_in_short_batches(spark, planted):
+    """Else a batch, and the memory of a worker, grows with the rows of a task; a number set by the user stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(rows)
+    vb.count_features(planted, "dream", ["river"])
+    assert spark.conf.get(rows) == "1024"
+    spark.conf.unset(rows)
+    emotion.lexicon_score(planted, spark.createDataFrame([("river", 1.0)], "word string, valence double"), "n", "dream")
+    assert spark.conf.get(rows) == "1024"
+    spark.conf.set(rows, "77")
+    vb.count_features(planted, "dream", ["river"])
+    assert spark.conf.get(rows) == "77"
+    spark.conf.unset(rows)
