@@ -24,6 +24,8 @@ from narrascope.operators.stats import count_by
 Centres = dict[str, np.ndarray]
 
 _MERGE_SALTS = 32
+# Rows of a task that is run once per iteration; with few rows, starting tasks takes most of the time.
+_TASK_ROWS = 50_000
 # A task hands its sums on when it holds this many groups, so that its memory stays bounded.
 _GROUPS_PER_FLUSH = 256
 _TOLERANCE = 1e-4
@@ -142,7 +144,7 @@ def kmeans_fit_by(
 
     The rows are stored once, dealt out, and read once per iteration for all groups that still move.
     """
-    rows = dealt_out(materialize(_group_vectors(df, group, vector_col), "kmeans-rows")).persist()
+    rows = dealt_out(materialize(_group_vectors(df, group, vector_col), "kmeans-rows"), _TASK_ROWS).persist()
     groups = [r["grp"] for r in count_by(rows, "grp").where(F.col("n") > k).orderBy("grp").toLocalIterator()]
     centres = seed_centres(rows, groups, k, seed) if groups else {}
     moving = dict(centres)

@@ -200,3 +200,17 @@ def test_groups_with_vectors_of_different_lengths(spark):
     rows = [("a", [float(i), float(i % 3)]) for i in range(40)] + [("b", [float(i % 5), float(i), 1.0]) for i in range(40)]
     models = pca.pca_fit_by(spark.createDataFrame(rows, "g string, embedding array<double>"), "g", 1)
     assert {g: m.mean.size for g, m in models.items()} == {"a": 2, "b": 3}
+
+
+def test_few_rows_take_few_tasks_per_iteration(spark, monkeypatch):
+    tasks, step = [], clusters.lloyd_step
+    monkeypatch.setattr(clusters, "lloyd_step", lambda rows, centres: tasks.append(rows.rdd.getNumPartitions()) or step(rows, centres))
+    df = spark.createDataFrame([("a", [float(i % 7), float(i % 5)]) for i in range(70)], "g string, embedding array<double>")
+    parts = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts)
+    spark.conf.set(parts, "40")
+    try:
+        clusters.kmeans_fit_by(df, "g", k=2)
+    finally:
+        spark.conf.set(parts, before)
+    assert set(tasks) == {spark.sparkContext.defaultParallelism}
