@@ -33,7 +33,7 @@ FLUSH = 1 << 20
 
 def a_bytes(tokenizer) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary; special tokens stand for their string."""
-    letters = {c: b for b, c in bpe._byte_letters().items()}
+    letters = {c: b for b, c in enumerate(bpe._byte_letters())}
     out = [b""] * tokenizer.get_vocab_size()
     for shown, i in tokenizer.get_vocab().items():
         out[i] = bytes(letters[c] for c in shown) if all(c in letters for c in shown) else shown.encode()

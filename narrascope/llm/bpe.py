@@ -6,6 +6,7 @@ import os
 import re
 import sys
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -33,37 +34,63 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of every byte in byte-level vocabularies: itself, or the next free character."""
+def _byte_letters() -> str:
+    """The printable stand-ins of the 256 bytes in byte-level vocabularies: itself, or the next free character."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
-class Words(Kept):
-    """Ids of the words met, as bytes."""
+class Pieces(Kept):
+    """Ids of what the pre-tokenizer cuts from texts, as bytes."""
 
     def __init__(self, tokenizer, dtype, limit: int):
-        super().__init__(limit, patience=2)
+        super().__init__(limit)
         self.model = tokenizer.model
         self.kind = "H" if dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
-        self.space = self.letters[32]
 
-    def ids(self, word: str, first: bool = False) -> list[int]:
-        """Ids of a word with the space before it; none stands before a line break or the first word."""
-        tokenize = self.model.tokenize
-        if word.isalpha() and word.isascii():
-            return [t.id for t in tokenize(word if first else self.space + word)]
-        pieces = _PIECES.findall(word if first or word[:1] == "\n" else " " + word)
-        return [t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]
+    def ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]
 
-    def encoded(self, word: str, first: bool = False) -> bytes:
-        found = array(self.kind, self.ids(word, first))
+    def encoded(self, piece: str) -> bytes:
+        found = array(self.kind, self.ids(piece))
         if sys.byteorder == "big":
             found.byteswap()
         return found.tobytes()
 
+    def __missing__(self, piece: str) -> bytes:
+        value = self.encoded(piece)
+        self.keep(piece, value, len(value))
+        return value
+
+
+class Words(Kept):
+    """Ids of the words met, as bytes.
+
+    A new word of several pieces, such as one before a comma, begins with a piece that mostly is a known word
+    by itself; only pieces that are not known either go to the model.
+    """
+
+    def __init__(self, tokenizer, dtype, limit: int):
+        super().__init__(limit)
+        self.inner = Pieces(tokenizer, dtype, limit // 8)
+
+    @staticmethod
+    def pieces(word: str, first: bool = False) -> list[str]:
+        """The pieces of a word with the space before it; none stands before a line break or the first word."""
+        if not first and word.isalpha():
+            return [" " + word]
+        return _PIECES.findall(word if first or word[:1] == "\n" else " " + word)
+
+    def ids(self, word: str, first: bool = False) -> list[int]:
+        return [i for p in self.pieces(word, first) for i in self.inner.ids(p)]
+
+    def encoded(self, word: str, first: bool = False) -> bytes:
+        head, *rest = self.pieces(word, first)
+        known = self.get(head[1:]) if rest and head[0] == " " else None
+        return (known or self.inner.encoded(head)) + b"".join(map(self.inner.__getitem__, rest))
+
     def __missing__(self, word: str) -> bytes:
         value = self.encoded(word)
         self.keep(word, value, len(value))
@@ -80,7 +107,7 @@ class Encoder:
     `plain` the strings of special tokens are text like any other. Words are kept up to `limit` bytes.
     """
 
-    def __init__(self, path: str, limit: int = 128 << 20, plain: bool = False):
+    def __init__(self, path: str, limit: int = 192 << 20, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

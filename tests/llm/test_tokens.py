@@ -33,6 +33,16 @@ def test_forgetting_words_changes_nothing():
     assert small.encode(text) == large.encode(text) == large.library(text)
 
 
+def test_known_words_are_not_encoded_again_before_marks():
+    encoder = bpe.Encoder(bpe.default_path())
+    encoder.encode("a thananha b, c")
+    seen, encoded = [], encoder.known.inner.encoded
+    encoder.known.inner.encoded = lambda piece: seen.append(piece) or encoded(piece)
+    text = "a thananha, thananha.*** thananha"
+    assert encoder.encode(text) == encoder.library(text)
+    assert seen == ["a", ".***"]
+
+
 def test_files_round_trip(spark, make, edge_rows, want, tmp_path):
     path = f"file://{tmp_path}/ids"
     token_files.write(make(edge_rows), path, bucket_keys=4)
