@@ -4,7 +4,9 @@ Two sets of a and b shingles that reach the similarity differ in at most d = (a
 shingles. Shingles are hashed into groups:
 
 * The directory above the trees uses d + 1 groups and more: of so many groups at least one has the same
-  content in both sets, so every pair to be found meets in a bucket (group, content of the group). One
+  content in both sets, so every pair to be found meets in a bucket (group, content of the group). A set
+  is put only into the buckets of its d + 1 fullest groups: in the order of fullness those before the first
+  common one all differ, in either set, so this one is among them. One
   global tree over the counts would not split anything: the allowed distance of a pair is many times the
   spread of a single count, so that every node of the tree would be visited by every query.
 * Inside a bucket the counts per group of every set are a point of an R-tree. The overlap of a set with
@@ -39,7 +41,7 @@ from narrascope.llm.graph import components
 #: Groups that are coordinates of a point, sets in a tile, and points in a node of the tree.
 DIMENSIONS, TILE, FANOUT = 64, 2048, 32
 #: Ratio of the largest to the smallest set size of a directory level.
-LEVEL_RATIO = 1.5
+LEVEL_RATIO = 2
 _PERSON = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -67,24 +69,32 @@ def needed(a, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def levels(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
-    """(lowest size, highest size, allowed differences, groups) of the directory levels up to a size.
+def differences(size: int, high: int, percent: int) -> int:
+    """Most shingles in which a set can differ from a linked one, where the smaller of the two has at most `high`."""
+    return (100 - percent) * (size + (size * 100 // percent if size <= high else high)) // (100 + percent)
+
+
+def levels(percent: int, largest: int) -> list[tuple[int, int, int]]:
+    """(lowest size, highest size, groups) of the directory levels up to a size.
 
     A pair belongs to the level of its smaller set. Sets so small that no difference is allowed are
     only linked to equal ones and stand in no level.
     """
     out, low = [], 1
     while low <= largest:
-        if (100 - percent) * (low + low * 100 // percent) // (100 + percent) < 1:
+        if differences(low, low, percent) < 1:
             low += 1
             continue
         high = max(low, math.ceil(low * LEVEL_RATIO) - 1)
-        d = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-        # Groups that are empty in both sets say nothing, so there are more of them than d + 1.
-        spare = 1
-        while spare < d + 2 and spare < (empty := (d + 1 + spare) * math.exp(-low / (d + 1 + spare))) + 5 * math.sqrt(empty):
-            spare += 1
-        out.append((low, high, d, d + 1 + spare))
+        d = differences(high, high, percent)
+        # Groups that are empty in both sets say nothing, so there are enough for more filled ones than differences.
+        groups = d + 2
+        while groups < 2 * d + 3 and any(
+            groups - 1 - differences(size, high, percent) < (empty := groups * math.exp(-size / groups)) + 5 * math.sqrt(empty)
+            for size in (low, high)
+        ):
+            groups += 1
+        out.append((low, high, groups))
         low = high + 1
     return out
 
@@ -92,7 +102,7 @@ def levels(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
 _levels: dict[int, list] = {}
 
 
-def levels_for(percent: int, size: int) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+def levels_for(percent: int, size: int) -> Iterator[tuple[int, tuple[int, int, int]]]:
     """Levels in which a set of this size can meet a partner: its own, and those of smaller partners."""
     known = _levels.setdefault(percent, [])
     if not known or known[-1][1] < size:
@@ -103,21 +113,20 @@ def levels_for(percent: int, size: int) -> Iterator[tuple[int, tuple[int, int, i
 
 
 def bucket_keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the buckets of a set: one for each group with content, in each level.
+    """Names of the buckets of a set: in each level those of its fullest groups, one more than may differ.
 
-    At most d groups hold a difference, so more than d groups with content are enough; with fewer, the
-    empty groups get buckets too.
+    Equal groups are equally full and stand in the same order in both sets. Before the first of them there
+    are only groups that differ, so it has a bucket in both. Empty groups come last and get a bucket only
+    where there are too few others.
     """
     out = []
-    for i, (_, _, d, groups) in levels_for(percent, len(found)):
+    for i, (_, high, groups) in levels_for(percent, len(found)):
         group = (mix(found + np.uint64(i)) % np.uint64(groups)).astype(np.int64)
         content = np.zeros(groups, np.uint64)
         np.add.at(content, group, mix(found ^ _PERSON))
-        filled = np.bincount(group, minlength=groups) > 0
-        if filled.sum() <= d:
-            filled[:] = True
+        fullest = np.argsort(-np.bincount(group, minlength=groups), kind="stable")
         place = np.arange(groups, dtype=np.uint64) + np.uint64(i << 32)
-        out.append(mix(content ^ mix(place))[filled])
+        out.append(mix(content ^ mix(place))[fullest[: differences(len(found), high, percent) + 1]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -116,6 +116,23 @@ def test_a_pair_that_links_shares_a_bucket(percent):
             assert set(jaccard.bucket_keys(a, percent).tolist()) & set(jaccard.bucket_keys(b, percent).tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_a_set_has_few_buckets_and_meets_its_farthest_links(percent):
+    """No more buckets than differences in two levels, even for sizes at the borders of levels."""
+    rng = np.random.default_rng(percent + 1)
+    borders = [size for level in jaccard.levels(percent, 1500) for size in level[:2]]
+    for n in [*borders, 50, 200, 500, 2500]:
+        base = rng.choice(2**62, 2 * n + 10, replace=False).astype(np.uint64)
+        a = np.sort(base[:n])
+        keys = set(jaccard.bucket_keys(a, percent).tolist())
+        assert len(keys) <= 2 * ((100 - percent) * (n + n * 100 // percent) // (100 + percent) + 1)
+        for size in {n, n * 100 // percent, (n + n * 100 // percent) // 2, -(-n * percent // 100)}:
+            shared = int(jaccard.needed(n, size, percent))
+            for _ in range(20):
+                b = np.sort(np.concatenate([rng.choice(a, shared, replace=False), base[n : n + size - shared]]))
+                assert size == n == shared or keys & set(jaccard.bucket_keys(b, percent).tolist())
+
+
 def test_tree_finds_every_pair_within_the_bound():
     rng = np.random.default_rng(5)
     base = rng.poisson(5, (40, jaccard.DIMENSIONS))
