@@ -1,7 +1,9 @@
 import math
 import random
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from narrascope.operators import emotion
@@ -130,6 +132,31 @@ def test_topics_at_the_prior_change_nothing(sharp):
     assert seen == len(ids) - 1 and (sharp < 1 or cells < 0.8 * plain_cells)
 
 
+def test_exp_of_digamma():
+    x = np.array([1e-3, 0.01, 0.1, 0.5, 1.0, 2.5, 40.0, 1e4, 1e6])
+    assert np.allclose(vb.exp_digamma(x)[2:], np.exp(vb.digamma(x))[2:], rtol=1e-12, atol=0)
+    assert np.allclose(vb.exp_digamma(x), np.exp(vb.digamma(x)), rtol=1e-9, atol=0)
+
+
+def test_batches_are_inferred_together(monkeypatch):
+    """Sixteen short Arrow batches take as many products as one with all of their reports, and give the same sums."""
+    rng = np.random.default_rng(6)
+    job = vb._Inference(np.exp(vb.expected_log(rng.gamma(100, 0.01, (20, 60)))).T.copy(), 0.05, 100, 1e-3)
+    ids = [np.sort(rng.choice(60, size, replace=False)).tolist() for size in rng.integers(0, 30, 128)]
+    counts = [rng.integers(1, 5, len(i)).astype(float).tolist() for i in ids]
+    monkeypatch.setattr(vb, "TaskContext", mock.Mock(**{"get.return_value.partitionId.return_value": 0}))
+
+    def sums(rows):
+        kinds = pa.list_(pa.int32()), pa.list_(pa.float64())
+        cut = [(pa.array(ids[i : i + rows], kinds[0]), pa.array(counts[i : i + rows], kinds[1])) for i in range(0, 128, rows)]
+        with mock.patch.object(vb.np, "matmul", wraps=np.matmul) as products:
+            (found,) = job.sums(pa.RecordBatch.from_arrays([*x], ["ids", "counts"]) for x in cut)
+        return np.array(found.column(1)[0].as_py()), products.call_count
+
+    (short, many), (whole, one) = sums(8), sums(128)
+    assert np.allclose(short, whole, rtol=1e-12) and many == one
+
+
 def test_texts_travel_in_short_batches(spark, planted):
     """Else a batch, and the memory of a worker, grows with the rows of a task; a number set by the user stays."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
