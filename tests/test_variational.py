@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from narrascope.functions import text as tx
 from narrascope.operators import emotion
 from narrascope.operators import variational as vb
 
@@ -132,6 +133,29 @@ def test_topics_at_the_prior_change_nothing(sharp):
     assert seen == len(ids) - 1 and (sharp < 1 or cells < 0.8 * plain_cells)
 
 
+def test_bags_are_those_of_the_expression(spark, planted):
+    """Terms and counts from Arrow batches against the column expression, with empty texts and stop words."""
+    odd = spark.createDataFrame([("",), (None,), ("the the",), ("Zoo zoo aÉb K\u212ait ab abc",)], "dream string")
+    for df in (odd, odd.limit(0), planted.select("dream")):
+        for mode, stop in (("alpha3", ["the"]), ("word", [])):
+            bag = tx.bag(tx.without(tx.tokens("dream", mode), stop))
+            wanted = df.where("dream is not null").select("dream", bag.alias("b")).select("dream", "b.term", "b.cnt")
+            found = vb.with_bags(df, "dream", mode, stop).select("dream", "bag.term", "bag.cnt")
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_stored_bags_serve_fit_and_assignment(spark, planted, fitted, tmp_path):
+    """Without any text: the same topics and weights as from the texts."""
+    vb.with_bags(planted, "dream").drop("dream").write.parquet(f"{tmp_path}/bags")
+    stored = spark.read.parquet(f"{tmp_path}/bags")
+    model = vb.topics_fit_batch(stored, None, k=3, max_iter=40, max_df=0.95, tolerance=1e-6, min_gain=1e-9, bag_col="bag")
+    assert model.terms == fitted.terms and np.allclose(model.weights, fitted.weights, rtol=1e-6)
+    plain = {r["n"]: r["topic_weights"] for r in fitted.assign(planted, "dream").collect()}
+    found = model.assign(stored, None, "bag").select("n", "topic_weights", "topic_id").collect()
+    assert sorted(r["n"] for r in found) == sorted([0, *range(180), 181, 182])
+    assert all(np.allclose(r["topic_weights"], plain[r["n"]], atol=1e-6) for r in found)
+
+
 def test_exp_of_digamma():
     x = np.array([1e-3, 0.01, 0.1, 0.5, 1.0, 2.5, 40.0, 1e4, 1e6])
     assert np.allclose(vb.exp_digamma(x)[2:], np.exp(vb.digamma(x))[2:], rtol=1e-12, atol=0)
